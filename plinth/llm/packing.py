@@ -7,6 +7,7 @@ window and gives one record for each piece.  No token is moved between partition
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -19,7 +20,12 @@ from .common import TwoGenerations, read, small_batches, stage_table, text_of
 
 VOCABULARY, WINDOW, LAST_ID = "word_bpe_49k.json", 4096, 2
 #: Entries of each generation of the cache of encoded words that a Python worker keeps.
-CACHED = 150_000
+CACHED = 450_000
+
+#: Outside these characters a text can be put in lower case before the tokenizer does so, with the same ids.
+_UNUSUAL = re.compile("[\x1c-\x1f\u0130\u0300-\U0010ffff]")
+#: A stop or comma after a letter and before white space is a word of its own to the tokenizer.
+_STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=\s)")
 
 _encoders: dict = {}
 
@@ -44,8 +50,12 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # str.split() also splits at 0x1C-0x1F, which are no white space to the tokenizer
-        whole = {i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        parts = [[t] if i in whole else t.split() for i, t in enumerate(texts)]
+        parts = []
+        for t in texts:
+            if _UNUSUAL.search(t):
+                parts.append([t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split())
+            else:
+                parts.append(_STOP.sub(r" \1", t.lower()).split())
         known, missing = self.cache.take(set().union(*parts))
         if missing:
             new = dict(zip(missing, self._encode(missing), strict=True))
