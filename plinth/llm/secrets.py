@@ -38,45 +38,50 @@ BINS, LAMBDA = 100, 0.5
 BANDS = (24, 32, 48, 64, 128)
 
 
-def _zip_spans(text: Column, pattern: str, checked: Column | None = None) -> Column:
-    """array<struct<start,end,size>> of the matches, in order; ``checked``: the strings whose lengths are ``size``."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), lambda x: F.char_length(x).cast("long"))
-    ends = matches if checked is None else checked
-    parts = F.arrays_zip(gaps.alias("gap"), F.transform(matches, lambda x: F.char_length(x).cast("long")).alias("len"), F.transform(ends, lambda x: F.char_length(x).cast("long")).alias("size"))
-    return F.when(F.size(matches) > 0, _placed(parts)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,size:bigint>>"))
-
-
-def _placed(parts: Column) -> Column:
-    """Running positions of (gap, len, size), in blocks of the square root of their number: no quadratic copying."""
-    block = F.ceil(F.sqrt(F.size(parts))).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / block).cast("int")), lambda b: F.slice(parts, b * block + 1, block))
-    sums = F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x["gap"] + x["len"]))
-    empty = F.array().cast("array<bigint>")
-    bases = F.aggregate(sums, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("all")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))["all"]
-    spans = F.array().cast("array<struct<start:bigint,end:bigint,size:bigint>>")
+_NO_SPANS = "array<struct<start:bigint,end:bigint,size:bigint>>"
 
-    def place(xs: Column, base: Column) -> Column:
-        return F.aggregate(
-            xs,
-            F.struct(base.alias("at"), spans.alias("all")),
-            lambda a, x: F.struct(
-                (a["at"] + x["gap"] + x["len"]).alias("at"),
-                F.concat(a["all"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["len"]).alias("end"), x["size"].alias("size")))).alias("all"),
-            ),
-        )["all"]
 
-    return F.flatten(F.zip_with(blocks, bases, place))
+def _let(df: DataFrame, name: str, **steps) -> DataFrame:
+    """Add helper columns one after another: each stays one column of a plan, so that no tree is copied into others."""
+    for key, make in steps.items():
+        df = df.withColumn(f"_{name}_{key}", make(lambda k: F.col(f"_{name}_{k}")))
+    return df
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """For each base kind the spans that meet its least length."""
-    return {
-        "assign": F.filter(_zip_spans(text, ASSIGN, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))), lambda x: x["size"] >= LEAST["assign"]),
-        # runs shorter than the least length hold no other match, so the bound can stand in the pattern
-        "access": _zip_spans(text, f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}"),
-        "hex": _zip_spans(text, f"[0-9a-f]{{{LEAST['hex']},}}"),
-    }
+def _spans(df: DataFrame, name: str, pattern: str, group: int = 0) -> DataFrame:
+    """Adds ``_<name>_spans``: array<struct<start,end,size>> of the matches in ``_text``, size being the length of the
+    given group.  Positions are running sums, in blocks of the square root of their number: no quadratic copying."""
+    size = lambda x: F.char_length(x).cast("long")
+    spans, numbers = F.array().cast(_NO_SPANS), F.array().cast("array<bigint>")
+
+    def place(xs: Column, base: Column) -> Column:
+        step = lambda a, x: F.struct(
+            (a["at"] + x["gap"] + x["len"]).alias("at"),
+            F.concat(a["all"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["len"]).alias("end"), x["size"].alias("size")))).alias("all"),
+        )
+        return F.aggregate(xs, F.struct(base.alias("at"), spans.alias("all")), step)["all"]
+
+    return _let(
+        df,
+        name,
+        found=lambda c: F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)),
+        checked=lambda c: F.regexp_extract_all("_text", F.lit(pattern), F.lit(group)) if group else c("found"),
+        gaps=lambda c: F.when(F.size(c("found")) > 0, F.transform(F.split("_text", pattern, -1), size)).otherwise(numbers),
+        parts=lambda c: F.arrays_zip(F.slice(c("gaps"), F.lit(1), F.size(c("found"))).alias("gap"), F.transform(c("found"), size).alias("len"), F.transform(c("checked"), size).alias("size")),
+        block=lambda c: F.greatest(F.ceil(F.sqrt(F.size(c("parts")))).cast("int"), F.lit(1)),
+        blocks=lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.size(c("parts")) - 1) / c("block")).cast("int")), lambda b: F.slice(c("parts"), F.greatest(b, F.lit(0)) * c("block") + 1, c("block"))),
+        sums=lambda c: F.transform(c("blocks"), lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x["gap"] + x["len"])),
+        bases=lambda c: F.aggregate(c("sums"), F.struct(F.lit(0).cast("long").alias("at"), numbers.alias("all")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))["all"],
+        spans=lambda c: F.when(F.size(c("parts")) > 0, F.flatten(F.zip_with(c("blocks"), c("bases"), place))).otherwise(spans),
+    )
+
+
+def with_base_spans(df: DataFrame) -> DataFrame:
+    """The spans of each base kind in ``_text``, before their least lengths are asked for."""
+    df = _spans(df, "assign", ASSIGN, 2)
+    # runs shorter than the least length hold no other match, so the bound can stand in the pattern
+    df = _spans(df, "access", f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}")
+    return _spans(df, "hex", f"[0-9a-f]{{{LEAST['hex']},}}")
 
 
 def _upper(z: Column) -> Column:
@@ -88,45 +93,63 @@ def _upper(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def randomness(token: Column) -> Column:
-    """Combined p-value of the battery under "drawn at random from the inferred alphabet"; small for ordinary text."""
-    body = F.regexp_replace(token, "=+$", "")
+def _battery(df: DataFrame) -> DataFrame:
+    """Adds ``_token_rated``: array<struct<start,end,band,p>> of the long tokens in ``_text`` that mix digits with
+    letters; p is the combined value under "drawn at random from the inferred alphabet", small for ordinary text."""
 
-    def pick(make):
-        chain = None
-        for _, pattern, alphabet in ENCODINGS:
-            chain = F.when(token.rlike(pattern), make(alphabet)) if chain is None else chain.when(token.rlike(pattern), make(alphabet))
+    def pick(token: Column, make) -> Column:
+        chain = F.when(token.rlike(ENCODINGS[0][1]), make(ENCODINGS[0][2]))
+        for _, pattern, alphabet in ENCODINGS[1:]:
+            chain = chain.when(token.rlike(pattern), make(alphabet))
         return chain
 
-    alphabet = pick(lambda a: F.lit(a))
-    k = F.char_length(alphabet).cast("double")
-    chars = F.filter(F.split(body, ""), lambda c: F.char_length(c) > 0)
-    n = F.size(chars).cast("double")
-    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow((F.char_length(body) - F.char_length(F.replace(body, c, F.lit("")))).cast("double"), F.lit(2.0)))
-    chi = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    values = F.transform(chars, lambda c: F.instr(alphabet, c).cast("double"))
-    nexts = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
-    fronts = F.slice(values, F.lit(1), F.greatest(F.size(values) - 1, F.lit(0)))
-    half = k / 2
-    ups = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v > half).cast("double"))
-    changes = F.aggregate(F.zip_with(fronts, nexts, lambda a, b: ((a > half) != (b > half)).cast("double")), F.lit(0.0), lambda a, v: a + v)
-    # about the alphabet's middle each of the n - 1 steps changes sides with probability 2 q (1 - q)
-    q = F.floor(k / 2) / k
-    turn = 2 * q * (1 - q)
-    runs = (changes - (n - 1) * turn) / F.sqrt((n - 1) * turn * (1 - turn))
-    balance = (ups - n * (1 - q)) / F.sqrt(n * q * (1 - q))
-    mean = (k + 1) / 2
-    products = F.aggregate(F.zip_with(fronts, nexts, lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, v: a + v)
-    serial = products / ((k * k - 1) / 12) / F.sqrt(n - 1)
-    two = lambda z: 2 * _upper(F.abs(z))
-    half_fisher = -(F.ln(F.greatest(_upper(chi), F.lit(1e-300))) + F.ln(F.greatest(two(runs), F.lit(1e-300))) + F.ln(F.greatest(two(serial), F.lit(1e-300))) + F.ln(F.greatest(two(balance), F.lit(1e-300))))
-    # survival of a chi-squared variable with 8 degrees of freedom, two for each of the four values
-    return F.exp(-half_fisher) * (1 + half_fisher + half_fisher * half_fisher / 2 + half_fisher * half_fisher * half_fisher / 6)
-
-
-def _candidates(text: Column) -> Column:
-    """Long tokens that mix digits with letters, as they stand in the text."""
-    return F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), _mixed)
+    zero = F.lit(0.0)
+    total = lambda xs: F.aggregate(xs, zero, lambda a, v: a + v)
+    two = lambda z: F.ln(F.greatest(2 * _upper(F.abs(z)), F.lit(1e-300)))
+
+    def step(**fields):
+        return lambda x: F.struct(*[x[k].alias(k) if v is None else v(x).alias(k) for k, v in fields.items()])
+
+    df = _spans(df, "token", TOKEN)
+    return _let(
+        df,
+        "token",
+        mixed=lambda c: F.filter(F.arrays_zip(c("spans").alias("s"), c("found").alias("x")), lambda z: _mixed(z["x"])),
+        one=lambda c: F.transform(c("mixed"), step(start=lambda z: z["s"]["start"], end=lambda z: z["s"]["end"], band=lambda z: _band(z["x"]), body=lambda z: F.regexp_replace(z["x"], "=+$", ""), alphabet=lambda z: pick(z["x"], F.lit))),
+        two=lambda c: F.transform(c("one"), step(start=None, end=None, band=None, body=None, alphabet=None, k=lambda z: F.char_length(z["alphabet"]).cast("double"), chars=lambda z: F.filter(F.split(z["body"], ""), lambda ch: F.char_length(ch) > 0))),
+        three=lambda c: F.transform(
+            c("two"),
+            step(
+                start=None, end=None, band=None, k=None, n=lambda z: F.size(z["chars"]).cast("double"),
+                values=lambda z: F.transform(z["chars"], lambda ch: F.instr(z["alphabet"], ch).cast("double")),
+                squares=lambda z: F.aggregate(F.array_distinct(z["chars"]), zero, lambda a, ch: a + F.pow((F.char_length(z["body"]) - F.char_length(F.replace(z["body"], ch, F.lit("")))).cast("double"), F.lit(2.0))),
+                fronts=lambda z: F.slice(z["chars"], F.lit(1), F.greatest(F.size(z["chars"]) - 1, F.lit(0))),
+            ),
+        ),
+        four=lambda c: F.transform(
+            c("three"),
+            step(
+                start=None, end=None, band=None, k=None, n=None, squares=None, q=lambda z: F.floor(z["k"] / 2) / z["k"],
+                ups=lambda z: total(F.transform(z["values"], lambda v: (v > z["k"] / 2).cast("double"))),
+                changes=lambda z: total(F.zip_with(F.slice(z["values"], F.lit(1), F.size(z["fronts"])), F.slice(z["values"], F.lit(2), F.size(z["fronts"])), lambda a, b: ((a > z["k"] / 2) != (b > z["k"] / 2)).cast("double"))),
+                products=lambda z: total(F.zip_with(F.slice(z["values"], F.lit(1), F.size(z["fronts"])), F.slice(z["values"], F.lit(2), F.size(z["fronts"])), lambda a, b: (a - (z["k"] + 1) / 2) * (b - (z["k"] + 1) / 2))),
+            ),
+        ),
+        # about the alphabet's middle each of the n - 1 steps changes sides with probability 2 q (1 - q)
+        five=lambda c: F.transform(
+            c("four"),
+            step(
+                start=None, end=None, band=None,
+                chi=lambda z: F.ln(F.greatest(_upper((z["squares"] * z["k"] / z["n"] - z["n"] - (z["k"] - 1)) / F.sqrt(2 * (z["k"] - 1) * (z["n"] - 1) / z["n"])), F.lit(1e-300))),
+                runs=lambda z: two((z["changes"] - (z["n"] - 1) * 2 * z["q"] * (1 - z["q"])) / F.sqrt((z["n"] - 1) * 2 * z["q"] * (1 - z["q"]) * (1 - 2 * z["q"] * (1 - z["q"])))),
+                balance=lambda z: two((z["ups"] - z["n"] * (1 - z["q"])) / F.sqrt(z["n"] * z["q"] * (1 - z["q"]))),
+                serial=lambda z: two(z["products"] / ((z["k"] * z["k"] - 1) / 12) / F.sqrt(z["n"] - 1)),
+            ),
+        ),
+        # Fisher: survival of a chi-squared variable with 8 degrees of freedom, two for each of the four values
+        six=lambda c: F.transform(c("five"), step(start=None, end=None, band=None, h=lambda z: -(z["chi"] + z["runs"] + z["balance"] + z["serial"]))),
+        rated=lambda c: F.transform(c("six"), step(start=None, end=None, band=None, p=lambda z: F.exp(-z["h"]) * (1 + z["h"] + z["h"] * z["h"] / 2 + z["h"] * z["h"] * z["h"] / 6))),
+    )
 
 
 def _mixed(x: Column) -> Column:
@@ -148,8 +171,8 @@ def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = 0.05) -> li
     above a value are the false discoveries there.  A band without tokens keeps LAMBDA.  Only len(BANDS) + 1 times BINS
     counts reach the driver.
     """
-    tokens = docs.select(F.explode(_candidates(text_of(text_col))).alias("x"))
-    cells = tokens.select(_band(F.col("x")).alias("band"), F.least(F.floor(randomness(F.col("x")) * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).groupBy("band", "bin").count()
+    rated = _battery(docs.select(text_of(text_col).alias("_text"))).select(F.explode("_token_rated").alias("x"))
+    cells = rated.select("x.band", F.least(F.floor(F.col("x.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).groupBy("band", "bin").count()
     counts = [[0] * BINS for _ in range(len(BANDS) + 1)]
     for r in cells.collect():
         counts[r["band"]][max(0, r["bin"])] += r["count"]
@@ -172,17 +195,20 @@ def find_secrets(docs: DataFrame, text_col: str = "text", fdr: float = 0.05, cut
     Repeated rows are scanned each.  A column named ``secret_spans`` is replaced.
     """
     cuts = thresholds(docs, text_col, fdr) if cuts is None else cuts
-    text = text_of(text_col)
-    base = base_spans(text)
+    kept = [c for c in docs.columns if c != "secret_spans"]
+    # a name of ours may be taken: the row travels as one column
+    df = _battery(with_base_spans(docs.select(F.struct(*kept).alias("_row"), text_of(text_col).alias("_text"))))
     tag = lambda kind, spans: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end")))
-    fixed = docs.withColumn("secret_spans", F.concat(*[tag(k, v) for k, v in base.items()]))
+    long_enough = lambda kind: F.filter(F.col(f"_{kind}_spans"), lambda x: x["size"] >= LEAST[kind])
     accepted = F.array(*[F.lit(float(x)) for x in cuts])
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    rated = F.transform(tokens, lambda x: F.when(_mixed(x), randomness(x) >= F.element_at(accepted, _band(x) + 1)).otherwise(F.lit(False)))
-    placed = F.arrays_zip(_zip_spans(text, TOKEN).alias("s"), rated.alias("ok"))
-    free = F.filter(placed, lambda p: p["ok"] & ~F.exists(F.col("secret_spans"), lambda b: (b["start"] < p["s"]["end"]) & (p["s"]["start"] < b["end"])))
-    added = F.when(F.size(tokens) > 0, tag("random", F.transform(free, lambda p: p["s"]))).otherwise(F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>"))
-    return fixed.withColumn("secret_spans", F.array_sort(F.concat("secret_spans", added)))
+    df = _let(
+        df,
+        "all",
+        base=lambda c: F.concat(*[tag(k, long_enough(k)) for k in KINDS[:3]]),
+        free=lambda c: F.filter("_token_rated", lambda x: (x["p"] >= F.element_at(accepted, x["band"] + 1)) & ~F.exists(c("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))),
+        spans=lambda c: F.array_sort(F.concat(c("base"), tag("random", c("free")))),
+    )
+    return df.select("_row.*", F.col("_all_spans").alias("secret_spans"))
 
 
 def redact(found: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
