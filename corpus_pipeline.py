@@ -1,11 +1,52 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: abusive and poor documents go, one of each group of near copies stays, secrets are blanked, and
+what is left is packed into sequences."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plinth.llm import ngrams, packing, quality, secrets, toxicity
+
+#: Documents under this quality go; lower than the operator's own threshold, so that doubtful ones stay.
+LEAST_QUALITY = 0.3
+
+#: No SQL can say the first stage; the stages are tested against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    stems, weights = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score_texts(docs, stems, weights, column="_toxicity")
+    return scored.filter(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _, _, weights = quality.fit(docs)
+    rated = quality.rate_texts(docs, weights, column="_quality")
+    return rated.filter(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngrams.one_of_each(docs, ngrams.similar_texts(docs))
+
+
+def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = secrets.redact(secrets.find_secrets(docs))
+    return cleaned.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near copies", drop_copies), ("secrets", blank_secrets), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plinth.llm.common import stage_table
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stage_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
