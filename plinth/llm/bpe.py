@@ -20,7 +20,7 @@ from .common import TwoGenerations, read, small_batches, text_of
 
 RANKS = "byte_bpe_50k.tiktoken"
 LONG = 48
-CACHED = 220_000
+CACHED = 550_000
 #: Texts are handled in groups of about so many characters, and words of so many bytes at once in DuckDB.
 GROUP, AT_ONCE = 4_000_000, 700_000
 
@@ -135,11 +135,17 @@ class Encoder:
         parts = [self.part.findall(t) for t in texts]
         known, missing = self.cache.take(set().union(*parts))
         if missing:
-            split = [[w.encode() for w in self.pattern.findall(p)] for p in missing]
-            words = self.words(list(set().union(*split)))
-            new = {}
+            split = [self.pattern.findall(p) for p in missing]
+            words, unknown = self.cache.take(set().union(*split))
+            raw = [w.encode() for w in unknown]
+            found = self.words(raw)
+            new = {w: found[r] for w, r in zip(unknown, raw, strict=True)}
+            words.update(new)
             for p, ws in zip(missing, split, strict=True):
-                new[p] = words[ws[0]] if len(ws) == 1 else (sum(words[w][0] for w in ws), " ".join([words[w][1] for w in ws]), b"".join([words[w][2] for w in ws]))
+                if len(ws) != 1:
+                    new[p] = (sum(words[w][0] for w in ws), " ".join([words[w][1] for w in ws]), b"".join([words[w][2] for w in ws]))
+                else:
+                    new[p] = words[ws[0]]
             known.update(new)
             self.cache.put({k: v for k, v in new.items() if len(k) <= 64})
         out = []
