@@ -33,25 +33,36 @@ def _hex(h1: Column, h2: Column) -> Column:
     return F.concat(F.lpad(F.lower(F.hex(h1)), 16, "0"), F.lpad(F.lower(F.hex(h2)), 16, "0"))
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t")).select("id", "t", canonical(F.col("t")).alias("form")).select("id", "t", wide_hash(F.col("form")).alias("h"))
+
+
+def _digests(keyed: DataFrame) -> DataFrame:
+    return stage_table(keyed.select("id", F.char_length("t").cast("long").alias("n_chars"), "h"), "digests")
+
+
+def _odd(named: DataFrame, digested: DataFrame) -> DataFrame:
+    """(id, h, odd) of texts that share a bucket with a text they differ from.  Only rows of buckets with more than one
+    member are compared, each with one text of its bucket; ``named`` has the rows that have an id."""
+    buckets = digested.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep")).filter("n > 1 and rep is not null")
+    members = digested.filter("id is not null").join(buckets, "h").select("id", F.col("h").alias("mh"), "rep").distinct()
+    # the bucket is compared in a column, not in the join: it would become a key, and the shuffle by id another one
+    told = named.join(members, "id").select("id", "h", "rep", F.when(F.col("h") == F.col("mh"), canonical(F.col("t"))).alias("form")).filter("form is not null")
+    heads = told.filter("id = rep").groupBy("h").agg(F.min("form").alias("head"))
+    return told.join(heads, "h").filter(F.col("form") != F.col("head")).select("id", "h", F.sha2(F.col("form").cast("binary"), 256).alias("odd")).distinct()
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_chars, h1, h2, bucket_size, odd.
+    """One row per input row: id, n_chars, h (two 64-bit values), odd.
 
     ``odd`` is null unless the text differs, byte by byte in its canonical form, from the text with the smallest id in
     its bucket; then it is the SHA-256 of the form.  Null and empty texts have the digest of the empty form.  Repeated
-    rows are kept; rows with a null id are digested but never stand for a bucket unless all ids in it are null.  Other
-    columns are ignored, whatever their names.  An empty table gives an empty one.
+    rows are kept; rows with a null id are digested but not compared.  Other columns are ignored, whatever their names.
+    An empty table gives an empty one.
     """
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
-    digested = stage_table(
-        rows.select("id", F.char_length("t").cast("long").alias("n_chars"), wide_hash(canonical(F.col("t"))).alias("h")).select("id", "n_chars", "h.h1", "h.h2"),
-        "digests",
-    )
-    buckets = digested.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("bucket_size"), F.min("id").alias("rep"))
-    members = digested.filter("id is not null").join(buckets.filter("bucket_size > 1 and rep is not null"), ["h1", "h2"]).select("id", "h1", "h2", "rep").distinct()
-    told = rows.join(members, "id").select("id", "h1", "h2", "rep", canonical(F.col("t")).alias("form"))
-    heads = told.filter("id = rep").groupBy("h1", "h2").agg(F.min("form").alias("head"))
-    odd = told.join(heads, ["h1", "h2"]).filter(F.col("form") != F.col("head")).select("id", "h1", "h2", F.sha2(F.col("form").cast("binary"), 256).alias("odd")).distinct()
-    return digested.join(odd, ["id", "h1", "h2"], "left")
+    keyed = _keyed(docs, id_col, text_col)
+    digested = _digests(keyed)
+    return digested.join(_odd(keyed.filter("id is not null"), digested), ["id", "h"], "left")
 
 
 def following(ids: DataFrame) -> DataFrame:
@@ -77,29 +88,32 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     share an id share a next document: the row with the smallest start among those with the next smaller id.  Rows with
     a null id have no next document and keep their text.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
-    prints = fingerprints(rows, "id", "t")
-    nexts = following(prints.filter("id is not null").select("id").distinct())
-    needs = prints.filter("id is not null").groupBy("id").agg((F.max("n_chars") / 3).cast("long").alias("need"))
-    before = stage_table(nexts.join(needs, "id").select(F.col("id").alias("prev"), F.col("next_id").alias("id"), "need"), "order")
-    keyed = rows.select("id", "t", wide_hash(canonical(F.col("t"))).alias("h"))
+    keyed = _keyed(docs, id_col, text_col)
+    digested = _digests(keyed)
+    ids = digested.filter("id is not null").groupBy("id").agg((F.max("n_chars") / 3).cast("long").alias("need"))
+    before = stage_table(following(ids.select("id")).join(ids, "id").select(F.col("id").alias("prev"), F.col("next_id").alias("id"), "need"), "order")
+    # all three joins by id read one shuffle of the texts
+    named = keyed.filter("id is not null")
     starts = (
-        keyed.join(before, "id")
+        named.join(before, "id")
         .select("prev", F.expr("substring(t, 1, cast(need as int))").alias("start"), "h")
         .groupBy(F.col("prev").alias("id"))
         .agg(F.min(F.struct("start", "h")).alias("next"))
     )
     n = F.char_length("t")
     cut = F.floor(n / 3).cast("int")
-    joined = keyed.join(starts, "id", "left").select(
-        "id", "t", "h", F.col("next.h").alias("nh"), F.when(F.col("next.start").isNull(), F.col("t")).otherwise(F.concat(F.substring("t", F.lit(1), n - cut), F.substring("next.start", F.lit(1), cut))).alias("e")
-    )
-    hashed = joined.select("id", "t", "e", "h", "nh", wide_hash(canonical(F.col("e"))).alias("eh"))
-    same = F.when(F.col("h") == F.col("eh"), (canonical(F.col("t")) == canonical(F.col("e"))).cast("double")).otherwise(F.lit(0.0))
-    odd = prints.filter("odd is not null").select("id", F.struct("h1", "h2").alias("h"), "odd").distinct()
+    joined = named.join(starts, "id").select("id", "t", "h", F.col("next.h").alias("nh"), F.concat(F.substring("t", F.lit(1), n - cut), F.substring("next.start", F.lit(1), cut)).alias("e"))
+    nameless = keyed.filter("id is null").select("id", "t", "h", F.lit(None).cast(dict(keyed.dtypes)["h"]).alias("nh"), F.col("t").alias("e"))
+
+    def told(rows: DataFrame) -> DataFrame:
+        hashed = rows.select("id", "t", "e", "h", "nh", canonical(F.col("e")).alias("form")).select("id", "t", "e", "form", "h", "nh", wide_hash(F.col("form")).alias("eh"))
+        same = F.when(F.col("h") == F.col("eh"), (canonical(F.col("t")) == F.col("form")).cast("double")).otherwise(F.lit(0.0))
+        return hashed.select("id", "h", "nh", "eh", F.char_length("t").cast("long").alias("n_chars"), F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), same.alias("near_edited"))
+
     return (
-        hashed.select("id", "h", "nh", "eh", F.char_length("t").cast("long").alias("n_chars"), F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), same.alias("near_edited"))
-        .join(odd, ["id", "h"], "left")
+        told(joined)
+        .join(_odd(named, digested), ["id", "h"], "left")
+        .unionByName(told(nameless).withColumn("odd", F.lit(None).cast("string")))
         .select(
             F.col("id").alias("doc_id"),
             "n_chars",
