@@ -150,8 +150,11 @@ def _labelled(docs: DataFrame, labels: DataFrame, bound: int, id_col: str, text_
     spark = docs.sparkSession
     ids = []
     usable = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").filter(fold_mod(F.col("id"), 3) != 1)
-    for toxic in (0, 1):
-        ids += [(r["id"], toxic) for r in usable.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("id"), "id").limit(bound).collect()]
+    sizes = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    for toxic, size in sizes.items():
+        near = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, 1.1 * bound / size))
+        rows = usable.filter(F.col("toxic") == toxic).filter(near).select("id", F.xxhash64("id").alias("h")).collect()  # about 1.1 * bound rows
+        ids += [(r["id"], toxic) for r in sorted(rows, key=lambda r: (r["h"] % (1 << 30), r["id"]))[:bound]]
     chosen = spark.createDataFrame(sorted(set(ids)) or [(0, 0)], "id long, toxic int").limit(len(ids))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t")).join(F.broadcast(chosen), "id")
     return rows.select("toxic", F.xxhash64(F.substring("t", 1, 24)).alias("family"), "t")
