@@ -155,7 +155,8 @@ def fit(docs: DataFrame, bound: int = BOUND, text_col: str = "text") -> tuple[fl
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(post, pa.float64())], names=["x", "y"])
 
     part = F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, bound / n)) + 1
-    got = sorted((r["x"], r["y"]) for r in texts.filter(part).limit(2 * bound).mapInArrow(sample, "x binary, y double").collect())
+    # copies of one text share its hash, so they count once: no text fills the sample
+    got = sorted((r["x"], r["y"]) for r in texts.filter(part).distinct().mapInArrow(sample, "x binary, y double").collect())
     if not got:
         return share, chance, np.zeros(size)
     x = np.frombuffer(b"".join(g[0] for g in got), "f4").reshape(len(got), -1).astype(float)
