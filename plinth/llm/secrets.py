@@ -179,7 +179,7 @@ def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = 0.05) -> li
     out = []
     for c in counts:
         random_ones, best = sum(c[int(LAMBDA * BINS) :]) / (1 - LAMBDA), LAMBDA
-        for b in range(int(LAMBDA * BINS), 0, -1):
+        for b in range(int(LAMBDA * BINS), 0, -1) if sum(c) else ():
             above = sum(c[b:])
             if above and 1 - random_ones * (1 - b / BINS) / above > fdr:
                 break
