@@ -144,6 +144,22 @@ def train(triples: np.ndarray, counts: np.ndarray, steps: int = 1500, batch: int
     return scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))
 
 
+def _most_frequent(counts: DataFrame, head: int) -> list:
+    """The most frequent words, ``head`` at most: those above a count that a histogram of counts gives.  Sixteen steps a
+    doubling, so a thousand rows at most; no task or driver sees more words than it keeps."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    words = counts.filter(F.length("word") > 0)
+    sizes = sorted(((r["step"], r["count"]) for r in words.groupBy(step.alias("step")).count().collect()), reverse=True)
+    taken, least = 0, None
+    for at, size in sizes:
+        if taken + size > head:
+            break
+        taken, least = taken + size, at
+    if least is None:
+        return []
+    return sorted(words.filter(step >= least).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -156,7 +172,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = stage_table(count_words(texts), "word-counts")
     facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(b""), F.col("n"))), F.lit(0)).alias("ends")).first()
     n, v, ends = int(facts["n"]), int(facts["v"]), int(facts["ends"])
-    top = counts.filter(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(head).collect()  # ``head`` rows at most
+    top = _most_frequent(counts, head)
     number = {bytes(r["word"]): i for i, r in enumerate(top)}
     known = np.array([r["n"] for r in top], "i8")
     frequent = {w: i for w, i in number.items() if i < FREQUENT}
