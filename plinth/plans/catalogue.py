@@ -11,21 +11,9 @@ from plinth.operators import intervals as I
 from plinth.operators import rules as R
 from plinth.operators.slices import Budget, backward_budgeted
 from plinth.plans.lowering import E_SQL, G_SQL, N_SQL, graph, nodes
+from plinth.plans.registration import QUERIES, SQL, query
 from plinth.sources import store
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 def _at(spark: SparkSession, d: str, kind: str, *keys: int) -> DataFrame:
     """node_id of the given natural keys."""
