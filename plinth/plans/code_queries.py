@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plinth.functions.tables import read
+from plinth.functions.tables import cut, read
 from plinth.operators import controlflow as K
+from plinth.operators import syntax as S
 from plinth.plans.registration import query
 
 # (event type, the part is there if the id divides by this, part, part it hangs on, kind, role); part 0 stands in the root block
@@ -59,3 +60,84 @@ _CFG = """v AS (SELECT user_id AS u, event_id, event_id * 20 AS e, event_type AS
 @query(f"WITH {_CFG} SELECT src, dst, kind FROM g WHERE dst IS NOT NULL")
 def control_flow_graph(spark, d):
     return K.control_flow(*operations(spark, d))
+
+
+# ---- syntax trees: each part is a statement of one of five shapes; 200 parts stand in one block
+# (shape, part, part it hangs on, kind, role)
+_SHAPES = [
+    (0, 0, -1, "ExpressionStatement", "statement"), (0, 1, 0, "SimpleAssignmentExpression", "expression"), (0, 2, 1, "IdentifierName", "left"), (0, 3, 1, "SimpleMemberAccessExpression", "right"),
+    (0, 4, 3, "IdentifierName", "expression"), (0, 5, 3, "IdentifierName", "name"),
+    (1, 0, -1, "LocalDeclarationStatement", "statement"), (1, 1, 0, "VariableDeclaration", "declaration"), (1, 2, 1, "VariableDeclarator", "declarator"), (1, 3, 2, "EqualsValueClause", "initializer"),
+    (1, 4, 3, "InvocationExpression", "value"), (1, 5, 4, "IdentifierName", "expression"), (1, 6, 4, "ArgumentList", "arguments"), (1, 7, 6, "Argument", "argument"), (1, 8, 7, "IdentifierName", "expression"),
+    (2, 0, -1, "IfStatement", "statement"), (2, 1, 0, "LogicalAndExpression", "condition"), (2, 2, 1, "LogicalNotExpression", "left"), (2, 3, 2, "IdentifierName", "operand"), (2, 4, 1, "LogicalOrExpression", "right"),
+    (2, 5, 4, "IdentifierName", "left"), (2, 6, 4, "IdentifierName", "right"), (2, 7, 0, "Block", "then"), (2, 8, 7, "ReturnStatement", "statement"),
+    (3, 0, -1, "WhileStatement", "statement"), (3, 1, 0, "IdentifierName", "condition"), (3, 2, 0, "Block", "body"), (3, 3, 2, "ExpressionStatement", "statement"), (3, 4, 3, "InvocationExpression", "expression"), (3, 5, 4, "IdentifierName", "expression"),
+    (4, 0, -1, "ReturnStatement", "statement"), (4, 1, 0, "ParenthesizedExpression", "expression"), (4, 2, 1, "ConditionalAccessExpression", "expression"), (4, 3, 2, "IdentifierName", "expression"), (4, 4, 2, "MemberBindingExpression", "whenNotNull"),
+]
+_TREE = "p AS (SELECT p_partkey AS k, p_partkey * 10 AS n, p_size % 5 AS t, p_partkey % 3 AS m FROM part)"
+
+
+def syntax(spark, d):
+    shapes = spark.createDataFrame(_SHAPES, "t int, j int, pj int, kind string, role string")
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 5).alias("t"))
+    block = F.floor(F.col("k") / 200)
+    made = p.join(F.broadcast(shapes), "t").select(  # a fixed list of 36 rows
+        (F.col("k") * 10 + F.col("j")).alias("node_id"), F.when(F.col("pj") < 0, -1 - block).otherwise(F.col("k") * 10 + F.col("pj")).alias("parent_id"), "kind", "role", block.cast("string").alias("file"),
+        (F.col("k") * 10 + F.col("j")).alias("s"), (F.col("k") * 10 + F.col("j") + 1).alias("e"), F.concat(F.lit("x"), F.col("j").cast("string")).alias("text"),
+        (F.col("k") % 40).cast("string").alias("symbol"), block.alias("scope"), (F.col("k") % 3 < 2).alias("target"),
+    )
+    roots = p.select(block.alias("b")).distinct().select((-1 - F.col("b")).alias("node_id"), F.lit(None).cast("long").alias("parent_id"), F.lit("Block").alias("kind"), F.lit("body").alias("role"), F.col("b").cast("string").alias("file"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("e"), F.lit("").alias("text"), F.lit(None).cast("string").alias("symbol"), F.col("b").alias("scope"), F.lit(False).alias("target"))
+    return made.unionByName(roots)
+
+
+_ATOMS = "a AS (SELECT k, n, t, m, n + j AS node_id, kind FROM p JOIN (VALUES (0, 2, 'ID'), (0, 3, 'MEMBER'), (1, 4, 'INVOKE'), (1, 8, 'ID'), (2, 3, 'ID'), (2, 5, 'ID'), (2, 6, 'ID'), (3, 1, 'ID'), (3, 4, 'INVOKE'), (4, 2, 'CONDITIONAL'), (4, 4, 'BINDING')) v(t, j, kind) USING (t))"
+
+
+@query(f"WITH {_TREE}, {_ATOMS} SELECT node_id FROM a")
+def atomic_expressions(spark, d):
+    return S.atomic(syntax(spark, d)).select("node_id")
+
+
+@query(f"WITH {_TREE}, {_ATOMS} SELECT node_id, 'DEL-SOBJ-MARK-' || kind || '-001' AS rule_id FROM a WHERE m < 2 UNION ALL SELECT n + 2, 'DEL-SOBJ-MARK-DECL-001' FROM p WHERE t = 1 AND m < 2")
+def rule_marks(spark, d):
+    return S.marks(syntax(spark, d))
+
+
+@query(f"WITH {_TREE} SELECT n + 2 AS node_id, 'DEL-SOBJ-PROP-ASSIGN-LHS-001' AS rule_id, n + 3 AS source FROM p WHERE t = 0 AND m < 2 UNION ALL SELECT n + 2, 'DEL-SOBJ-PROP-DECL-INIT-001', n + j FROM p, (VALUES (4), (8)) v(j) WHERE t = 1 AND m < 2")
+def rule_propagation(spark, d):
+    nodes = syntax(spark, d)
+    m = cut(S.marks(nodes))
+    return S.to_left_value(m, nodes).unionByName(S.to_declarator(m, nodes))
+
+
+@query(f"""WITH {_TREE}, df AS (SELECT n + 2 AS source, k % 40 AS y, k // 200 AS c FROM p WHERE t = 1 AND m < 2),
+  r AS (SELECT n + j AS node_id, k % 40 AS y, k // 200 AS c FROM p JOIN (VALUES (0, 2), (0, 4), (0, 5), (1, 5), (1, 8), (2, 3), (2, 5), (2, 6), (3, 1), (3, 5), (4, 3)) v(t, j) USING (t)
+    WHERE m = 2 OR (t, j) IN ((0, 4), (0, 5), (1, 5), (3, 5), (4, 3)))
+  SELECT node_id, 'DEL-SOBJ-PROP-SYMBOL-001' AS rule_id, min(source) AS source FROM r JOIN df USING (y, c) GROUP BY 1""")
+def rule_symbol_references(spark, d):
+    nodes = syntax(spark, d)
+    return S.to_references(cut(S.marks(nodes)), nodes)
+
+
+@query(f"WITH {_TREE} SELECT n + 1 AS top, 1::BIGINT AS removed, 1::BIGINT AS survivors, CASE WHEN k % 2 = 0 THEN 'x4' ELSE 'x2' END AS rest FROM p WHERE t = 2 AND m < 2")
+def logical_operand_split(spark, d):
+    nodes = syntax(spark, d)
+    j = F.col("node_id") % 10
+    even = F.floor(F.col("node_id") / 10) % 2 == 0
+    marked = S.marks(nodes).filter(F.when(even, j == 3).otherwise(j.isin(5, 6)))
+    return S.operand_split(cut(marked), nodes)
+
+
+@query(f"""WITH {_TREE}, v AS (SELECT * FROM (VALUES (0, 3, 0, 1), (0, 2, 0, 1), (1, 8, 7, 1), (1, 8, 6, 2), (1, 4, 0, 1), (1, 2, 0, 1), (2, 3, 2, 1), (2, 5, 1, 1), (2, 6, 1, 1), (2, 3, 1, 2),
+    (3, 1, 0, 1), (3, 4, 3, 1), (4, 2, 1, 1), (4, 2, 0, 2), (4, 4, 1, 2), (4, 4, 0, 3)) v(t, j, h, depth))
+  SELECT n + h AS node_id, 'DEL-SOBJ-LIFT-HOST-001' AS rule_id, min(n + j) AS source, min(depth)::INT AS depth FROM p JOIN v USING (t) WHERE m < 2 AND depth = (SELECT min(depth) FROM v w WHERE w.t = p.t AND w.h = v.h) GROUP BY 1""")
+def host_lifting(spark, d):
+    nodes = syntax(spark, d)
+    return S.lift(cut(S.marks(nodes)), nodes)
+
+
+@query(f"""WITH {_TREE}, e AS (SELECT * FROM (VALUES {', '.join(str((t, j, pj)) for t, j, pj, _, _ in _SHAPES)}) e(t, j, pj)),
+  c AS (WITH RECURSIVE r(t, j, up, depth) AS (SELECT t, j, pj, 1 FROM e UNION ALL SELECT r.t, r.j, e.pj, r.depth + 1 FROM r JOIN e ON e.t = r.t AND e.j = r.up) SELECT * FROM r)
+  SELECT n + j AS node_id, CASE WHEN up < 0 THEN -1 - k // 200 ELSE n + up END AS ancestor, depth FROM p JOIN c USING (t)""")
+def syntax_closure(spark, d):
+    return S.closure(syntax(spark, d))
