@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.tables import cut, read
 from plinth.operators import controlflow as K
+from plinth.operators import decisions as E
 from plinth.operators import syntax as S
 from plinth.plans.registration import query
 
@@ -141,3 +142,38 @@ def host_lifting(spark, d):
   SELECT n + j AS node_id, CASE WHEN up < 0 THEN -1 - k // 200 ELSE n + up END AS ancestor, depth FROM p JOIN c USING (t)""")
 def syntax_closure(spark, d):
     return S.closure(syntax(spark, d))
+
+
+# ---- decisions over the marks of the trees
+_KINDS = {"default": ("WhileStatement", "IfStatement", "LocalDeclarationStatement", "ExpressionStatement")}
+_UNITS = """u AS (SELECT k, n, t, n + j AS unit_id, CASE WHEN (n + j) % 7 = 0 THEN 'Replace' ELSE 'Delete' END AS action, depth, j,
+    CASE WHEN t = 4 THEN 'x' || k WHEN (n + j) % 7 = 0 THEN (n + j)::VARCHAR ELSE (n + h)::VARCHAR END AS domain
+    FROM p JOIN (VALUES (0, 2, 3, 0), (0, 3, 3, 0), (1, 4, 5, 0), (1, 8, 8, 0), (1, 2, 3, 0), (2, 3, 4, 0), (2, 5, 4, 0), (2, 6, 4, 0), (3, 1, 2, 0), (3, 4, 4, 3), (4, 2, 3, 0), (4, 4, 4, 0)) v(t, j, depth, h) USING (t) WHERE m < 2),
+  below AS (SELECT * FROM (VALUES (1, 2, 4), (1, 2, 8), (1, 4, 8), (4, 2, 4)) b(t, a, b)),
+  l AS (SELECT * FROM u WHERE NOT (action = 'Delete' AND EXISTS (SELECT 1 FROM u r JOIN below ON below.t = u.t AND below.a = u.j AND below.b = r.j WHERE r.action = 'Replace' AND r.domain = u.domain))),
+  w AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY domain ORDER BY depth, unit_id) = 1)"""
+
+
+def _units(spark, d, nodes):
+    shape4 = F.floor(F.col("node_id") / 10)
+    t4 = read(spark, d, "part").filter("p_size % 5 = 4").select(F.col("p_partkey").alias("k"))
+    m = S.marks(nodes).select("node_id", shape4.alias("k")).join(t4.withColumn("four", F.lit(True)), "k", "left")
+    return m.select(F.col("node_id").alias("unit_id"), F.lit("default").alias("rule_id"), F.when(F.col("node_id") % 7 == 0, "Replace").otherwise("Delete").alias("action"), "node_id", F.when(F.col("four"), F.concat(F.lit("x"), F.col("k").cast("string"))).alias("conflict_key"))
+
+
+@query(f"""WITH {_TREE}, {_UNITS} SELECT w.domain, w.unit_id, 'default' AS rule_id, w.action, w.unit_id AS node_id,
+  (SELECT count(*) FROM l JOIN below ON below.t = w.t AND below.a = w.j AND below.b = l.j WHERE l.domain = w.domain) AS merged FROM w""")
+def decisions(spark, d):
+    nodes = cut(syntax(spark, d))
+    return E.decide(cut(_units(spark, d, nodes)), nodes, _KINDS)
+
+
+_NEST = "dc AS (SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate) AS decision_id, l_orderkey AS file, l_partkey % 40 AS s, l_partkey % 40 + l_quantity::BIGINT AS e, CASE WHEN l_suppkey % 4 = 0 THEN 'Replace' ELSE 'Delete' END AS action FROM lineitem)"
+
+
+@query(f"WITH {_NEST} SELECT decision_id FROM dc WHERE action = 'Replace' OR NOT EXISTS (SELECT 1 FROM dc o WHERE o.file = dc.file AND o.s <= dc.s AND dc.e <= o.e AND (o.action = 'Replace' OR (o.decision_id <> dc.decision_id AND (o.e - o.s > dc.e - dc.s OR o.decision_id < dc.decision_id))))")
+def nested_deletes(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+    s = F.col("l_partkey") % 40
+    rows = read(spark, d, "lineitem").select((F.col("l_orderkey") * 1000 + F.row_number().over(w)).alias("decision_id"), F.col("l_orderkey").alias("file"), s.alias("s"), (s + F.col("l_quantity").cast("long")).alias("e"), F.when(F.col("l_suppkey") % 4 == 0, "Replace").otherwise("Delete").alias("action"))
+    return E.without_nested(rows).select("decision_id")
