@@ -138,23 +138,42 @@ def reaching_definitions(flow: DataFrame, defs: DataFrame) -> DataFrame:
     return known
 
 
-def dominators(edges: DataFrame, root: int) -> DataFrame:
-    """(node_id, dominator): d dominates n if no walk from the root reaches n without d.
-
-    All candidates are taken away at once: one frontier loop over (removed, node) pairs.  Nodes that the root does not
-    reach dominate themselves alone.
+def _scoped(edges: DataFrame, roots: DataFrame | int, members: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """roots and members as (scope, node_id); one root alone has all ends of the edges in its scope."""
+    if members is None:
+        members = links(edges, "both").select(F.lit(0).cast("long").alias("scope"), F.col("a").alias("node_id")).distinct()
+    if isinstance(roots, int):
+        roots = members.filter(F.col("node_id") == roots)
+    return roots.select("scope", "node_id"), members.select("scope", "node_id")
+
+
+def dominators(edges: DataFrame, roots: DataFrame | int, members: DataFrame | None = None) -> DataFrame:
+    """(node_id, dominator): d dominates n if no walk from the root of their scope reaches n without d.
+
+    A scope is the flow graph of one method, with roots(scope, node_id) one a scope and members(scope, node_id).  All
+    candidates of all scopes are taken away at once: one frontier loop over (removed, node) pairs of a scope.  A root is
+    never taken away, so its own pairs tell what is reached at all.  Nodes that the root does not reach dominate
+    themselves alone.
     """
-    nodes = links(edges, "both").select(F.col("a").alias("node_id")).distinct()
+    roots, members = _scoped(edges, roots, members)
+    members = cut(members)
     steps = cut(links(edges))
-    live = cut(reachable(edges, nodes.filter(F.col("node_id") == root)))
-    seen = frontier = cut(live.filter(F.col("node_id") != root).select(F.col("node_id").alias("gone"), F.lit(root).cast("long").alias("node_id")))
+    begin = cut(roots.select("scope", F.col("node_id").alias("root")))
+    seen = frontier = cut(members.join(begin, "scope").select(F.col("node_id").alias("gone"), F.col("root").alias("node_id")))
+    rounds = 0
     while not frontier.isEmpty():
+        rounds += 1
         nxt = frontier.join(steps, F.col("node_id") == F.col("a")).filter("b <> gone").select("gone", F.col("b").alias("node_id")).distinct()
         frontier = cut(nxt.join(seen, ["gone", "node_id"], "left_anti"))
-        seen = cut(seen.unionByName(frontier))
-    pairs = live.alias("d").join(live.alias("n")).select(F.col("n.node_id").alias("node_id"), F.col("d.node_id").alias("dominator"))  # the result is of this size
-    strict = pairs.filter("dominator <> node_id").join(seen.select(F.col("gone").alias("dominator"), "node_id"), ["dominator", "node_id"], "left_anti")
-    return strict.select("node_id", "dominator").unionByName(nodes.select("node_id", F.col("node_id").alias("dominator")))
+        seen = seen.unionByName(frontier)
+        if rounds % 10 == 0:
+            seen = cut(seen)
+    seen = cut(seen)
+    live = cut(seen.join(begin, F.col("gone") == F.col("root")).select("scope", "node_id"))
+    pairs = live.join(live.select("scope", F.col("node_id").alias("dominator")), "scope").select("node_id", "dominator")
+    missed = seen.join(begin, F.col("gone") == F.col("root"), "left_anti").select(F.col("gone").alias("dominator"), "node_id")
+    strict = pairs.filter("dominator <> node_id").join(missed, ["dominator", "node_id"], "left_anti")
+    return strict.select("node_id", "dominator").unionByName(members.select("node_id", F.col("node_id").alias("dominator")))
 
 
 def immediate(dominators_: DataFrame) -> DataFrame:
@@ -165,10 +184,10 @@ def immediate(dominators_: DataFrame) -> DataFrame:
     return strict.withColumn("r", F.row_number().over(w)).filter("r = 1").select("node_id", F.col("dominator").alias("idom"))
 
 
-def control_dependence(edges: DataFrame, exit_: int) -> DataFrame:
+def control_dependence(edges: DataFrame, exits: DataFrame | int, members: DataFrame | None = None) -> DataFrame:
     """(control, dependent): for an edge a -> b where b does not post-dominate a, every post-dominator of b (b too) that
     does not strictly post-dominate a depends on a."""
-    post = cut(dominators(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), exit_).select(F.col("node_id").alias("n"), F.col("dominator").alias("p")))
+    post = cut(dominators(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), exits, members).select(F.col("node_id").alias("n"), F.col("dominator").alias("p")))
     split = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
     open_ = split.join(post, (F.col("a") == F.col("n")) & (F.col("b") == F.col("p")) & (F.col("a") != F.col("b")), "left_anti")
     runners = open_.join(post, F.col("b") == F.col("n")).select("a", F.col("p").alias("d"))

@@ -52,18 +52,18 @@ def neighbors_in(spark, d):
     return graph(spark, d).incoming(_at(spark, d, "customer", 1, 2, 10)).select("src", "dst", "kind")
 
 
-@query(f"{G_SQL} SELECT e.src, e.dst, e.kind, m.kind AS dst_kind, m.name FROM e JOIN n ON e.src = n.node_id JOIN n m ON m.node_id = e.dst WHERE n.kind = 'order' AND n.natural_key <= 50 AND e.kind = 'OfPart'")
+@query(f"{G_SQL} SELECT e.src, e.dst, e.kind, m.kind AS dst_kind, m.name FROM e JOIN n ON e.src = n.node_id JOIN n m ON m.node_id = e.dst WHERE n.kind = 'order' AND e.kind = 'OfPart'")
 def neighbors_by_kind(spark, d):
     g = graph(spark, d)
-    ids = g.of_kind("order").filter("natural_key <= 50")
+    ids = g.of_kind("order")
     ends = g.nodes.select(F.col("node_id").alias("dst"), F.col("kind").alias("dst_kind"), "name")
     return g.outgoing(ids, "OfPart").join(ends, "dst").select("src", "dst", "kind", "dst_kind", "name")
 
 
-@query(f"{G_SQL} SELECT m.name AS symbol, n.node_id AS referrer, n.name FROM e JOIN n ON n.node_id = e.src JOIN n m ON m.node_id = e.dst WHERE e.kind = 'OfPart' AND m.natural_key <= 20")
+@query(f"{G_SQL} SELECT m.name AS symbol, n.node_id AS referrer, n.name FROM e JOIN n ON n.node_id = e.src JOIN n m ON m.node_id = e.dst WHERE e.kind = 'OfPart'")
 def symbol_references(spark, d):
     g = graph(spark, d)
-    symbols = g.of_kind("part").filter("natural_key <= 20").select(F.col("node_id").alias("dst"), F.col("name").alias("symbol"))
+    symbols = g.of_kind("part").select(F.col("node_id").alias("dst"), F.col("name").alias("symbol"))
     refs = g.nodes.select(F.col("node_id").alias("src"), "name")
     return g.edges_of("OfPart").join(symbols, "dst").join(refs, "src").select("symbol", F.col("src").alias("referrer"), "name")
 
@@ -106,21 +106,27 @@ def shortest_path_len(spark, d):
     return G.shortest_paths(g.edges_of("InRegion", "InNation"), _at(spark, d, "region", 0), g.of_kind("supplier"))
 
 
-_CALLS = "c AS (SELECT DISTINCT a.dst AS src, b.dst AS dst FROM e a JOIN e b ON a.src = b.src JOIN n ON n.node_id = a.src WHERE a.kind = 'PlacedBy' AND b.kind = 'OfPart' AND n.natural_key % 3 = 0), roots AS (SELECT node_id FROM n WHERE kind = 'customer' AND natural_key % 50 = 0), live(node_id) AS (SELECT node_id FROM roots UNION SELECT c.dst FROM live JOIN c ON c.src = live.node_id)"
+_CALLS = "c AS (SELECT DISTINCT a.dst AS src, b.dst AS dst FROM e a JOIN e b ON a.src = b.src WHERE a.kind = 'PlacedBy' AND b.kind = 'OfPart'), roots AS (SELECT n.node_id FROM e JOIN n ON n.node_id = e.src JOIN n m ON m.node_id = e.dst WHERE n.kind = 'customer' AND m.kind = 'nation' AND m.natural_key = 1), live(node_id) AS (SELECT node_id FROM roots UNION SELECT c.dst FROM live JOIN c ON c.src = live.node_id)"
 
 
 def _calls(spark, d):
-    """customer -> part over every third order: callers and callees."""
+    """customer -> part over the orders: callers and callees."""
     g = graph(spark, d)
-    site = g.of_kind("order").filter("natural_key % 3 = 0").select(F.col("node_id").alias("src"))
-    placed = g.edges_of("PlacedBy").join(site, "src", "left_semi").select("src", F.col("dst").alias("caller"))
+    placed = g.edges_of("PlacedBy").select("src", F.col("dst").alias("caller"))
     parts = g.edges_of("OfPart").select("src", F.col("dst").alias("callee"))
     return placed.join(parts, "src").select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct()
 
 
+def _entries(spark, d):
+    """Where calls begin: the customers of one nation."""
+    g = graph(spark, d)
+    inside = g.incoming(_at(spark, d, "nation", 1), "InNation").select(F.col("src").alias("node_id"))
+    return g.of_kind("customer").join(inside, "node_id", "left_semi").select("node_id")
+
+
 @query(f"{G_SQL}, {_CALLS} SELECT node_id FROM live")
 def reachable_set(spark, d):
-    return G.reachable(_calls(spark, d), graph(spark, d).of_kind("customer").filter("natural_key % 50 = 0"))
+    return G.reachable(_calls(spark, d), _entries(spark, d))
 
 
 @query(f"{G_SQL}, {_CALLS} SELECT node_id FROM n WHERE kind = 'part' AND node_id NOT IN (SELECT node_id FROM live)")
@@ -131,7 +137,7 @@ def unreachable_nodes(spark, d):
 @query(f"{G_SQL}, {_CALLS} SELECT node_id FROM n WHERE kind IN ('part', 'customer') AND node_id NOT IN (SELECT node_id FROM live)")
 def unreferenced_closure(spark, d):
     g = graph(spark, d)
-    return G.unreferenced(g.nodes.filter("kind in ('part', 'customer')").select("node_id"), _calls(spark, d), g.of_kind("customer").filter("natural_key % 50 = 0").select("node_id"))
+    return G.unreferenced(g.nodes.filter("kind in ('part', 'customer')").select("node_id"), _calls(spark, d), _entries(spark, d))
 
 
 @query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -165,7 +171,7 @@ def slice_backward_set(spark, d):
 @query()
 def slice_backward_budgeted(spark, d):
     g = graph(spark, d)
-    sinks = g.of_kind("nation").filter("natural_key < 5").select(F.col("node_id").alias("sink"))
+    sinks = g.of_kind("nation").select(F.col("node_id").alias("sink"))
     first = g.edges_of("InNation").join(sinks, F.col("dst") == F.col("sink"))
     second = g.edges_of("PlacedBy").join(first.select("sink", F.col("src").alias("mid")), F.col("dst") == F.col("mid")).drop("mid")
     seen = first.select("sink", "src", "dst", "kind").unionByName(second.select("sink", "src", "dst", "kind")).withColumn("frame", F.lit(None).cast("string"))
@@ -201,18 +207,20 @@ def reaching_defs_linear(spark, d):
     return _facts(spark, d).select("event_id", F.last(made, ignorenulls=True).over(w).alias("def_id"))
 
 
-_FLOW = f"WITH RECURSIVE {_DEFS}, u AS (SELECT * FROM x WHERE user_id <= 12), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM u), f AS (SELECT a.event_id AS src, b.event_id AS dst FROM o a JOIN o b ON a.user_id = b.user_id AND (b.i = a.i + 1 OR (b.i = a.i + 3 AND a.event_type = 'error'))), df AS (SELECT event_id, k FROM u WHERE event_type IN ('purchase', 'signup'))"
+_FLOW = f"WITH RECURSIVE {_DEFS}, u AS (SELECT * FROM x), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM u), f AS (SELECT a.event_id AS src, b.event_id AS dst FROM o a JOIN o b ON a.user_id = b.user_id AND (b.i = a.i + 1 OR (b.i = a.i + 3 AND a.event_type = 'error'))), df AS (SELECT event_id, k FROM u WHERE event_type IN ('purchase', 'signup'))"
+
+
+def _flow(spark, d):
+    """(scope, src, dst): the flow of each user's events, in order; an error may also skip the next two."""
+    w = Window.partitionBy("user_id").orderBy("ts")
+    ev = read(spark, d, "events").select(F.col("user_id").alias("scope"), F.col("event_id").alias("src"), F.lead("event_id").over(w).alias("one"), F.when(F.col("event_type") == "error", F.lead("event_id", 3).over(w)).alias("three"))
+    return ev.select("scope", "src", F.explode(F.array("one", "three")).alias("dst")).filter("dst is not null")
 
 
 @query(f"{_FLOW}, r(node_id, def_id, var) AS (SELECT f.dst, df.event_id, df.k FROM df JOIN f ON f.src = df.event_id UNION SELECT f.dst, r.def_id, r.var FROM r JOIN f ON f.src = r.node_id WHERE NOT EXISTS (SELECT 1 FROM df WHERE df.event_id = r.node_id AND df.k = r.var)) SELECT * FROM r")
 def reaching_defs_branching(spark, d):
-    u = _facts(spark, d).filter("user_id <= 12").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts")))
-    a, b = u.alias("a"), u.alias("b")
-    plain = a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("b.i") == F.col("a.i") + 1))
-    jump = a.filter("event_type = 'error'").join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("b.i") == F.col("a.i") + 3))
-    flow = plain.select(F.col("a.event_id").alias("src"), F.col("b.event_id").alias("dst")).unionByName(jump.select(F.col("a.event_id").alias("src"), F.col("b.event_id").alias("dst")))
-    defs = u.filter("event_type in ('purchase', 'signup')").select(F.col("event_id").alias("node_id"), F.col("k").alias("var"))
-    return G.reaching_definitions(flow, defs)
+    defs = _facts(spark, d).filter("event_type in ('purchase', 'signup')").select(F.col("event_id").alias("node_id"), F.col("k").alias("var"))
+    return G.reaching_definitions(_flow(spark, d), defs)
 
 
 @query("SELECT user_id, count(*) AS n FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1 HAVING count(*) > 28")
@@ -239,32 +247,43 @@ def bridge_cuts(spark, d):
     return sites.groupBy(F.when(F.col("targets").isNull(), "UnresolvedTarget").when(F.col("targets") > 1, "AmbiguousTarget").otherwise("Bridged").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# a layered flow graph of 48 blocks: block i goes to 2i and 2i + 1 (mod 48) where the part of that number is large or odd
-_DAG = "e AS (SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, CASE WHEN j = 0 THEN p_partkey * 2 ELSE p_partkey * 2 + 1 + p_size % 3 END AS dst FROM part, (VALUES (0), (1)) t(j) WHERE p_partkey BETWEEN 1 AND 48) WHERE dst <= 48 UNION SELECT p_partkey, 49 FROM part WHERE p_partkey BETWEEN 20 AND 48)"
+# every user is a method whose events are the blocks of its flow
+_DAG = _FLOW.removeprefix("WITH RECURSIVE ") + ", e AS (SELECT a.user_id AS scope, f.src, f.dst FROM f JOIN o a ON a.event_id = f.src), ends AS (SELECT user_id AS scope, min_by(event_id, i) AS first_id, max_by(event_id, i) AS last_id FROM o GROUP BY 1)"
 
 
-def _dag(spark, d):
-    p = read(spark, d, "part").filter("p_partkey between 1 and 48").select(F.col("p_partkey").alias("src"), "p_size")
-    both = p.select("src", F.explode(F.array(F.col("src") * 2, F.col("src") * 2 + 1 + F.col("p_size") % 3)).alias("dst")).filter("dst <= 48")
-    return both.unionByName(p.filter("src >= 20").select("src", F.lit(49).cast("long").alias("dst"))).distinct()
+def _dom_sql(name: str, start: str, src: str, dst: str) -> str:
+    """Dominators by removal: a node dominates what the start does not reach without it."""
+    return (
+        f"g{name}(scope, gone, id) AS (SELECT o.user_id, o.event_id, ends.{start} FROM o JOIN ends ON ends.scope = o.user_id WHERE o.event_id <> ends.{start} UNION SELECT g.scope, g.gone, e.{dst} FROM g{name} g JOIN e ON e.{src} = g.id WHERE e.{dst} <> g.gone), "
+        f"{name} AS (SELECT a.event_id AS node_id, b.event_id AS dominator FROM o a JOIN o b ON a.user_id = b.user_id LEFT JOIN g{name} g ON g.gone = b.event_id AND g.id = a.event_id WHERE a.event_id = b.event_id OR g.id IS NULL)"
+    )
 
 
-_DOM = "v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), l(id) AS (SELECT 1::BIGINT UNION SELECT e.dst FROM l JOIN e ON e.src = l.id), a(gone, id) AS (SELECT id, 1::BIGINT FROM l WHERE id <> 1 UNION SELECT a.gone, e.dst FROM a JOIN e ON e.src = a.id WHERE e.dst <> a.gone), dom AS (SELECT n.id AS node_id, d.id AS dominator FROM l d, l n WHERE d.id <> n.id AND (d.id, n.id) NOT IN (SELECT gone, id FROM a) UNION ALL SELECT id, id FROM v)"
+_DOM = _dom_sql("dom", "first_id", "src", "dst")
 
 
-@query(f"WITH RECURSIVE {_DAG}, {_DOM} SELECT * FROM dom")
+def _ends(spark, d, last: bool):
+    pick = F.max_by if last else F.min_by
+    return read(spark, d, "events").groupBy(F.col("user_id").alias("scope")).agg(pick("event_id", "ts").alias("node_id"))
+
+
+def _members(spark, d):
+    return read(spark, d, "events").select(F.col("user_id").alias("scope"), F.col("event_id").alias("node_id"))
+
+
+@query(f"WITH RECURSIVE {_DAG}, {_DOM} SELECT node_id, dominator FROM dom")
 def dominators(spark, d):
-    return G.dominators(_dag(spark, d), 1)
+    return G.dominators(_flow(spark, d), _ends(spark, d, False), _members(spark, d))
 
 
 @query(f"WITH RECURSIVE {_DAG}, {_DOM}, z AS (SELECT node_id AS dominator, count(*) AS c FROM dom GROUP BY 1) SELECT node_id, dominator AS idom FROM dom JOIN z USING (dominator) WHERE node_id <> dominator QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY c DESC, dominator) = 1")
 def ipdom(spark, d):
-    return G.immediate(G.dominators(_dag(spark, d), 1))
+    return G.immediate(dominators(spark, d))
 
 
-@query(f"WITH RECURSIVE {_DAG}, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), l(id) AS (SELECT 49::BIGINT UNION SELECT e.src FROM l JOIN e ON e.dst = l.id), a(gone, id) AS (SELECT id, 49::BIGINT FROM l WHERE id <> 49 UNION SELECT a.gone, e.src FROM a JOIN e ON e.dst = a.id WHERE e.src <> a.gone), pd AS (SELECT n.id AS n, d.id AS p FROM l d, l n WHERE d.id <> n.id AND (d.id, n.id) NOT IN (SELECT gone, id FROM a) UNION ALL SELECT id, id FROM v) SELECT DISTINCT e.src AS control, r.p AS dependent FROM e JOIN pd r ON r.n = e.dst WHERE (e.src = e.dst OR NOT EXISTS (SELECT 1 FROM pd WHERE pd.n = e.src AND pd.p = e.dst)) AND NOT EXISTS (SELECT 1 FROM pd WHERE pd.n = e.src AND pd.p = r.p AND pd.n <> pd.p)")
+@query(f"WITH RECURSIVE {_DAG}, {_dom_sql('pd', 'last_id', 'dst', 'src')} SELECT DISTINCT e.src AS control, r.dominator AS dependent FROM e JOIN pd r ON r.node_id = e.dst LEFT JOIN pd x ON x.node_id = e.src AND x.dominator = e.dst LEFT JOIN pd y ON y.node_id = e.src AND y.dominator = r.dominator AND y.node_id <> y.dominator WHERE x.node_id IS NULL AND y.node_id IS NULL")
 def control_dependence(spark, d):
-    return G.control_dependence(_dag(spark, d), 49)
+    return G.control_dependence(_flow(spark, d), _ends(spark, d, True), _members(spark, d))
 
 
 _SCORE = "SELECT l_orderkey AS site, s_name AS name, max(CASE WHEN s_acctbal > 0 THEN 1000 ELSE 0 END + CASE WHEN l_returnflag = 'R' THEN 500 ELSE 0 END + CASE WHEN l_linestatus = 'O' THEN 250 ELSE 0 END) AS score FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2"
@@ -319,11 +338,11 @@ def nodes_in_span(spark, d):
     return _owners(spark, d).filter("os >= 200 and oe <= 900").select("file", "ord", "os", "oe")
 
 
-_SPANS = "SELECT l_orderkey AS file, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate) AS key, (l_partkey % 50)::BIGINT AS s, (l_partkey % 50 + l_quantity)::BIGINT AS e FROM lineitem WHERE l_orderkey <= 3000"
+_SPANS = "SELECT l_orderkey AS file, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate) AS key, (l_partkey % 50)::BIGINT AS s, (l_partkey % 50 + l_quantity)::BIGINT AS e FROM lineitem"
 
 
 def _spans(spark, d):
-    li = read(spark, d, "lineitem").filter("l_orderkey <= 3000")
+    li = read(spark, d, "lineitem")
     keyed = dense_ids(li, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"], "key")
     return keyed.select(F.col("l_orderkey").alias("file"), "key", (F.col("l_partkey") % 50).alias("s"), (F.col("l_partkey") % 50 + F.col("l_quantity")).cast("long").alias("e"))
 

@@ -9,7 +9,7 @@ from plinth.operators import diffs as D
 from plinth.plans.registration import query
 from plinth.sources import logs, plans
 
-# three edits a document: a blanked start, one replaced piece around position 20 and one that the piece contains
+# three edits where a document has room for them: a blanked start, one replaced piece around position 20 and one that the piece contains
 _E = """x AS (SELECT doc_id AS file, text FROM documents WHERE length(text) >= 40),
   ed AS (SELECT file, i, file * 4 + i AS edit_id, s, s + n AS e, substring(text, s + 1, n) AS original, CASE i WHEN 0 THEN '' WHEN 1 THEN '<' || file % 7 || '>' ELSE 'inner' END AS replacement
     FROM x, (VALUES (0, 2, 3), (1, 20, 9), (2, 22, 4)) t(i, s, n)),
@@ -17,12 +17,12 @@ _E = """x AS (SELECT doc_id AS file, text FROM documents WHERE length(text) >= 4
 
 
 def _sources(spark, d):
-    return read(spark, d, "documents").filter(F.char_length("text") >= 40).select(F.col("doc_id").alias("file"), "text")
+    return read(spark, d, "documents").select(F.col("doc_id").alias("file"), "text")
 
 
 def _edits(spark, d):
     spans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).cast("long").alias("s"), F.lit(n).alias("n")) for i, s, n in ((0, 2, 3), (1, 20, 9), (2, 22, 4))])
-    x = _sources(spark, d).select("file", "text", F.explode(spans).alias("t")).select("file", "text", "t.*")
+    x = _sources(spark, d).filter(F.char_length("text") >= 40).select("file", "text", F.explode(spans).alias("t")).select("file", "text", "t.*")
     new = F.when(F.col("i") == 0, "").when(F.col("i") == 1, F.concat(F.lit("<"), (F.col("file") % 7).cast("string"), F.lit(">"))).otherwise("inner")
     return x.select("file", (F.col("file") * 4 + F.col("i")).alias("edit_id"), "s", (F.col("s") + F.col("n")).alias("e"), F.substring(F.col("text"), (F.col("s") + 1).cast("int"), F.col("n")).alias("original"), new.alias("replacement"))
 
