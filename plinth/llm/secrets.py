@@ -3,8 +3,8 @@
 Matches are placed without any join: the lengths of the pieces between matches and of the matches are summed inside the
 row.  For other long tokens an encoding (its alphabet) is inferred; chi-squared uniformity over that alphabet, a runs
 test about its middle and the lag-one serial correlation each give a p-value under "drawn at random", and Fisher's rule
-combines them.  A corpus-wide histogram of the combined values by length band then sets, for each band, the smallest
-value from which the estimated share of ordinary tokens among the accepted ones stays under ``fdr``.
+combines them.  A band of lengths accepts from the value 0.01 on, which loses about that share of random tokens; only
+where a corpus-wide histogram shows a significant excess of ordinary tokens over ``fdr`` is the value raised.
 """
 
 from __future__ import annotations
@@ -31,9 +31,13 @@ ENCODINGS = (
     ("base32", "^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base62", "^[0-9A-Za-z]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
-    ("base64", "^.*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
+    ("base64", "^[0-9A-Za-z+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("base64url", "^[0-9A-Za-z_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("any", "^.*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
-BINS, LAMBDA = 100, 0.5
+#: A cut is the lower end of one of these bins, the second one at least and LAMBDA at most; it is raised on an excess of
+#: ordinary tokens that chance gives with a probability under SURE.
+BINS, LAMBDA, SURE = 100, 0.5, 0.01
 #: Upper ends of the length bands; one more band holds the rest.
 BANDS = (24, 32, 48, 64, 128)
 
@@ -164,28 +168,37 @@ def _band(token: Column) -> Column:
     return band
 
 
+def _at_most(k: int, n: int, share: float) -> float:
+    """P(X <= k) for a binomial X; by the normal approximation for large n."""
+    if n > 2000:
+        return 0.5 * math.erfc((n * share - k - 0.5) / math.sqrt(2 * n * share * (1 - share)))
+    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(share) + (n - i) * math.log1p(-share)
+    return sum(math.exp(log(i)) for i in range(k + 1))
+
+
+def least_accepted(counts: list[int], fdr: float) -> float:
+    """The cut of a band from its counts by bin.  Random tokens spread evenly above a cut and ordinary ones lie low, so
+    with a share of at most ``fdr`` of ordinary ones the upper half of the accepted range holds (1 - fdr) / 2 or more;
+    the first cut that the counts do not contradict stands."""
+    for b in range(1, int(LAMBDA * BINS)):
+        middle = (b + BINS) // 2
+        share = (1 - fdr) * (BINS - middle) / (BINS - b)
+        if _at_most(sum(counts[middle:]), sum(counts[b:]), share) >= SURE:
+            return b / BINS
+    return LAMBDA
+
+
 def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = 0.05) -> list[float]:
     """For each length band the least combined p-value that is accepted as random, from all tokens of the corpus.
 
-    Under randomness p is uniform, so twice the tokens above one half estimate the random ones; the rest of the tokens
-    above a value are the false discoveries there.  A band without tokens keeps LAMBDA.  Only len(BANDS) + 1 times BINS
-    counts reach the driver.
+    A band without tokens keeps LAMBDA.  Only len(BANDS) + 1 times BINS counts reach the driver.
     """
     rated = _battery(docs.select(text_of(text_col).alias("_text"))).select(F.explode("_token_rated").alias("x"))
     cells = rated.select("x.band", F.least(F.floor(F.col("x.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).groupBy("band", "bin").count()
     counts = [[0] * BINS for _ in range(len(BANDS) + 1)]
     for r in cells.collect():
         counts[r["band"]][max(0, r["bin"])] += r["count"]
-    out = []
-    for c in counts:
-        random_ones, best = sum(c[int(LAMBDA * BINS) :]) / (1 - LAMBDA), LAMBDA
-        for b in range(int(LAMBDA * BINS), 0, -1) if sum(c) else ():
-            above = sum(c[b:])
-            if above and 1 - random_ones * (1 - b / BINS) / above > fdr:
-                break
-            best = b / BINS
-        out.append(best)
-    return out
+    return [least_accepted(c, fdr) if sum(c) else LAMBDA for c in counts]
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", fdr: float = 0.05, cuts: list[float] | None = None) -> DataFrame:

@@ -159,6 +159,41 @@ def test_secrets_base_spans_and_redaction(spark, odd):
     assert secrets.find_secrets(odd, cuts=[0.01] * 6).count() == odd.count() and secrets.thresholds(empty(odd)) == [0.5] * 6
 
 
+def test_secrets_computed_cuts_keep_planted_keys(spark, tmp_path):
+    import string
+
+    from plinth.llm import secrets
+
+    rng, letters = random.Random(12), string.ascii_letters + string.digits
+    for size in (2, 20, 200):
+        keys = ["".join(rng.choices(letters + extra, k=n)) for n, extra in ((22, ""), (40, ""), (100, "+/"), (1600, "+/"), (1600, "-_")) for _ in range(size)]
+        plain = [f"version2_of_the_{a}_{b}_module" for a in ("garden", "letter", "window") for b in ("reader", "writer", "keeper")]
+        texts = [f"x {k} y" for k in keys] + [f"see {p} there" for p in plain]
+        at = tmp_path / f"n{size}"
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(at / "documents.parquet"))
+        got = {r.doc_id: r.spans for r in secrets.op6_secrets(spark, str(at)).collect()}
+        found = sum(got[i] == f"random:2:{2 + len(k)}" for i, k in enumerate(keys))
+        assert found >= 0.9 * len(keys), (size, found, len(keys))
+        assert all(got[i] == "" for i in range(len(keys), len(texts)))
+
+
+def test_secrets_cut_rises_on_many_ordinary_tokens_only():
+    from plinth.llm import secrets
+
+    even = [5] * 100
+    assert secrets.least_accepted(even, 0.05) == 0.01 and secrets.least_accepted([900, *even[1:]], 0.05) == 0.01
+    assert secrets.least_accepted([0] * 10 + [200] * 10 + even[20:], 0.05) > 0.15
+    rng = random.Random(1)
+    for size in (2, 5, 20, 100, 3000):
+        lost = []
+        for _ in range(100):
+            counts = [0] * 100
+            for _ in range(size):
+                counts[rng.randrange(100)] += 1
+            lost.append(sum(counts[: round(100 * secrets.least_accepted(counts, 0.05))]) / size)
+        assert sum(lost) / len(lost) < 0.03, size
+
+
 def test_fingerprints(spark, odd):
     from plinth.llm import fingerprint
 
