@@ -2,11 +2,12 @@
 
 Words are counted over the whole training part.  The most frequent ones and the end are symbols of their own; other
 words are known by one of a few shapes.  A symbol's log-probability after two others is the product of its vector with
-a position-weighted sum of theirs, plus a bias.  It is trained on the counts of all symbol triples of the training part
-(a table of bounded size), by telling them from noise drawn by frequency; scores use the normalised model, from one
-batched matrix product over all contexts.  A word inside its shape has its discounted share of that shape's count; words
-never seen in training share the discounts.  So the probabilities of the known words, one unseen word and the end sum to
-one after any two symbols.
+a position-weighted sum of theirs, plus a bias.  The counts of all symbol triples of the training part (a table of
+bounded size) are told from noise by frequency; every step sums over all of them and over all noise, nothing is drawn.
+Scores use the normalised model.  Inside a shape a second model of the same kind gives the words after the symbol before
+them: as many words have vectors of their own as the training tokens allow, and the rest of the shape is one more.  A
+word of the rest has its discounted share of the rest's count; words never seen in training share the discounts.  So the
+probabilities of the known words, one unseen word and the end sum to one after any two symbols.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ FOLDS, HELD = 7, 2
 FREQUENT, SHAPES, SIZE, SEED = 88, 6, 24, 20240302
 #: Most frequent words whose counts every worker holds; counts of rarer ones come by a join.
 HEAD = 150_000
+#: One word with a vector of its own for so many training tokens, and the most that there are.
+PER_WORD, VECTORS = 1000, 20_000
 END, START = FREQUENT + SHAPES, FREQUENT + SHAPES + 1
 SYMBOLS = FREQUENT + SHAPES + 2
 
@@ -81,14 +84,22 @@ def _triples(ids: list[int]) -> np.ndarray:
     return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
 
 
-def count_triples(texts: DataFrame, number: dict[bytes, int]) -> DataFrame:
-    """(triple, n) over the training texts: SYMBOLS^3 rows at most."""
-    frequent = {w: i for w, i in number.items() if i < FREQUENT}
+def count_triples(texts: DataFrame, number: dict[bytes, int], own: int = 0) -> DataFrame:
+    """(triple, n) over the training texts: SYMBOLS^3 rows at most.  From SYMBOLS^3 on stand the pairs of a symbol and
+    one of the ``own`` words after the frequent ones that follows it, as symbol * own + word: SYMBOLS * own rows."""
+    wanted = {w: i for w, i in number.items() if i < FREQUENT + own}
 
     def run(batches):
-        total = np.zeros(SYMBOLS**3, "i8")
+        total = np.zeros(SYMBOLS**3 + SYMBOLS * own, "i8")
         for batch in batches:
-            found = [_triples(_symbols(words_of(t), frequent)) for t in batch.column(0).to_pylist()]
+            found = []
+            for t in batch.column(0).to_pylist():
+                words = words_of(t)
+                got = np.array([wanted.get(w, -1) for w in words], "i8")
+                ids = _symbols(words, wanted)
+                at = np.nonzero(got >= FREQUENT)[0]
+                before = np.array([START, *ids], "i8")[at]
+                found += [_triples(ids), SYMBOLS**3 + before * own + got[at] - FREQUENT]
             if found:
                 total += np.bincount(np.concatenate(found), minlength=len(total))
         at = np.nonzero(total)[0]
@@ -97,53 +108,84 @@ def count_triples(texts: DataFrame, number: dict[bytes, int]) -> DataFrame:
     return texts.filter("not held").select("t").mapInArrow(run, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
 
 
-def train(triples: np.ndarray, counts: np.ndarray, steps: int = 1500, batch: int = 2048, noise: int = 12) -> np.ndarray:
+def _descend(params: list[np.ndarray], gradients, steps: int) -> None:
+    """Adam with a falling rate; ``gradients`` gives those of all params, which change in place."""
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    for step in range(1, steps + 1):
+        rate = 0.03 * (1 - (step - 1) / steps) + 0.001
+        for p, g, m, v in zip(params, gradients(), first, second, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def train(triples: np.ndarray, counts: np.ndarray, steps: int = 400, noise: int = 12) -> np.ndarray:
     """Natural log-probabilities [context, symbol] of the normalised model.
 
-    Noise-contrastive estimation: each drawn triple is told from ``noise`` symbols drawn by frequency, with the
-    normalising constants fixed at one as usual; the table is normalised afterwards over all symbols but the start.
+    Noise-contrastive estimation: each triple is told from ``noise`` symbols by frequency, with the normalising
+    constants fixed at one as usual; the table is normalised afterwards over all symbols but the start.  A step takes all
+    triples by their counts and the expected noise of each, so it costs the same however many tokens were counted.
     """
     rng = np.random.default_rng(SEED)
     freq = np.bincount(triples % SYMBOLS, weights=counts, minlength=SYMBOLS) + 1.0
     freq[START] = 0
     q = freq / freq.sum()
     logq = np.log(np.maximum(q, 1e-12))
-    target, source = rng.normal(0, 0.05, (SYMBOLS, SIZE)), rng.normal(0, 0.05, (SYMBOLS, SIZE))
-    near, far, bias = np.ones(SIZE), np.ones(SIZE) * 0.5, logq.copy()
-    params = [target, source, near, far, bias]
-    squares = [np.full_like(p, 1e-8) for p in params]
+    target, source = rng.normal(0, 0.05, (SYMBOLS, SIZE)).astype("f4"), rng.normal(0, 0.05, (SYMBOLS, SIZE)).astype("f4")
+    near, far, bias = np.ones(SIZE, "f4"), np.ones(SIZE, "f4") * np.float32(0.5), logq.astype("f4")
+    all_contexts = lambda: ((source * far)[:, None, :] + (source * near)[None, :, :]).reshape(-1, SIZE)
     if counts.sum():
-        cum, cumq = np.cumsum(counts) / counts.sum(), np.cumsum(q)
-        for step in range(steps):
-            t = triples[np.minimum(np.searchsorted(cum, rng.random(batch)), len(triples) - 1)]
-            a, b, w = t // SYMBOLS**2, t // SYMBOLS % SYMBOLS, t % SYMBOLS
-            words = np.concatenate((w[:, None], np.minimum(np.searchsorted(cumq, rng.random((batch, noise))), SYMBOLS - 1)), axis=1)
-            context = source[b] * near + source[a] * far
-            vectors = target[words]
-            gap = np.einsum("bkd,bd->bk", vectors, context) + bias[words] - logq[words] - math.log(noise)
-            err = 1 / (1 + np.exp(-np.clip(gap, -30, 30)))
-            err[:, 0] -= 1
-            back = np.einsum("bk,bkd->bd", err, vectors)
-            grads = [np.zeros_like(p) for p in params]
-            np.add.at(grads[0], words.ravel(), (err[:, :, None] * context[:, None, :]).reshape(-1, SIZE))
-            np.add.at(grads[1], b, back * near)
-            np.add.at(grads[1], a, back * far)
-            grads[2] += (back * source[b]).sum(axis=0)
-            grads[3] += (back * source[a]).sum(axis=0)
-            np.add.at(grads[4], words.ravel(), err.ravel())
-            rate = 0.05 * (1 - step / steps) + 0.002
-            for p, g, s2 in zip(params, grads, squares, strict=True):
-                g /= batch
-                s2 += g * g
-                p -= rate * g / np.sqrt(s2)
-    every = np.arange(SYMBOLS)
-    contexts = (source[every] * far)[:, None, :] + (source[every] * near)[None, :, :]
-    scores = contexts.reshape(-1, SIZE) @ target.T + bias
+        seen = (np.bincount(triples, weights=counts, minlength=SYMBOLS**3) / counts.sum()).reshape(-1, SYMBOLS).astype("f4")
+        against = (noise * seen.sum(axis=1, keepdims=True) * q).astype("f4")
+        shift, both = (logq + math.log(noise)).astype("f4"), seen + against
+
+        def gradients():
+            context = all_contexts()
+            err = both * _sigmoid(context @ target.T + (bias - shift)) - seen
+            back = (err @ target).reshape(SYMBOLS, SYMBOLS, SIZE)
+            by_far, by_near = back.sum(axis=1), back.sum(axis=0)
+            return err.T @ context, by_near * near + by_far * far, (by_near * source).sum(axis=0), (by_far * source).sum(axis=0), err.sum(axis=0)
+
+        _descend([target, source, near, far, bias], gradients, steps)
+    scores = (all_contexts() @ target.T + bias).astype("f8")
     scores[:, START] = -np.inf
     top = scores.max(axis=1, keepdims=True)
     return scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))
 
 
+def train_inside(pairs: np.ndarray, shapes: np.ndarray, steps: int = 300, noise: int = 12) -> np.ndarray:
+    """Natural log-probabilities [symbol before, item] of each item inside its shape, from the counts of all pairs; the
+    estimation is that of ``train``, with the noise of each shape by the frequencies in it."""
+    rng = np.random.default_rng(SEED)
+    member = (shapes[:, None] == np.arange(SHAPES)).astype("f4")
+    freq = pairs.sum(axis=0) + 1.0
+    q = freq / (freq @ member)[shapes]
+    logq = np.log(q)
+    target, source, bias = rng.normal(0, 0.05, (len(shapes), SIZE)).astype("f4"), rng.normal(0, 0.05, (SYMBOLS, SIZE)).astype("f4"), logq.astype("f4")
+    if pairs.sum():
+        total = pairs.sum()
+        seen = (pairs / total).astype("f4")
+        both = seen + (noise * (pairs @ member)[:, shapes] * q / total).astype("f4")
+        shift, ridge = (logq + math.log(noise)).astype("f4"), np.float32(1 / total)
+
+        def gradients():
+            err = both * _sigmoid(source @ target.T + (bias - shift)) - seen
+            return err.T @ source + ridge * target, err @ target + ridge * source, err.sum(axis=0)
+
+        _descend([target, source, bias], gradients, steps)
+    scores = (source @ target.T + bias).astype("f8")
+    for s in range(SHAPES):
+        at = np.nonzero(shapes == s)[0]
+        x = scores[:, at]
+        top = x.max(axis=1, keepdims=True)
+        scores[:, at] = x - top - np.log(np.exp(x - top).sum(axis=1, keepdims=True))
+    return scores
+
+
 def _most_frequent(counts: DataFrame, head: int) -> list:
     """The most frequent words, ``head`` at most: those above a count that a histogram of counts gives.  Sixteen steps a
     doubling, so a thousand rows at most; no task or driver sees more words than it keeps."""
@@ -175,14 +217,25 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     top = _most_frequent(counts, head)
     number = {bytes(r["word"]): i for i, r in enumerate(top)}
     known = np.array([r["n"] for r in top], "i8")
-    frequent = {w: i for w, i in number.items() if i < FREQUENT}
-    rows = count_triples(texts, number).toPandas().sort_values("triple")  # SYMBOLS^3 rows at most
-    table = train(rows["triple"].to_numpy("i8"), rows["n"].to_numpy("i8")) / math.log(10)
-    cut = float(known[FREQUENT - 1]) if len(known) >= FREQUENT else 0.0
-    # counts of each shape: words, types, and those seen once or twice, for the discount
+    own = max(0, min(len(known), n // PER_WORD, VECTORS) - FREQUENT)
+    rows = count_triples(texts, number, own).toArrow()  # SYMBOLS^3 + SYMBOLS * own rows at most
+    keys, times = rows.column("triple").to_numpy(), rows.column("n").to_numpy()
+    single = keys >= SYMBOLS**3
+    order = np.argsort(keys[~single])
+    triples, seen = keys[~single][order], times[~single][order]
+    table = train(triples, seen) / math.log(10)
+    # after each symbol: the words with vectors of their own, then the rest of each shape
+    shapes = np.array([shape_of(bytes(r["word"])) - FREQUENT for r in top[FREQUENT : FREQUENT + own]] + list(range(SHAPES)), "i8")
+    pairs = np.zeros((SYMBOLS, own + SHAPES))
+    pairs[(keys[single] - SYMBOLS**3) // max(1, own), (keys[single] - SYMBOLS**3) % max(1, own)] = times[single]
+    of_shape = np.bincount(triples // SYMBOLS % SYMBOLS * SYMBOLS + triples % SYMBOLS, weights=seen, minlength=SYMBOLS**2).reshape(SYMBOLS, SYMBOLS)[:, FREQUENT:END]
+    for s in range(SHAPES):
+        pairs[:, own + s] = of_shape[:, s] - pairs[:, :own][:, shapes[:own] == s].sum(axis=1)
+    cond = (train_inside(pairs, shapes) / math.log(10)).astype("f4")
+    # counts of the rest of each shape: words, types, and those seen once or twice, for the discount
     shape = F.lit(FREQUENT) + F.when(F.expr("right(word, 1) = X'2E'"), 0).when(F.expr("right(word, 1) = X'2C'"), 2).otherwise(4) + (F.length("word") > 8).cast("int")
-    mine = spark.createDataFrame([(bytearray(w),) for w in frequent] or [(bytearray(b"\x00"),)], "word binary")
-    rare = counts.filter(F.length("word") > 0).join(F.broadcast(mine), "word", "left_anti") if cut else counts.filter(F.length("word") > 0).limit(0 if not len(known) else 2**31 - 1).join(F.broadcast(mine), "word", "left_anti")
+    mine = spark.createDataFrame([(bytearray(r["word"]),) for r in top[: FREQUENT + own]], "word binary")
+    rare = counts.filter(F.length("word") > 0).join(F.broadcast(mine), "word", "left_anti")
     stats = {r["s"]: r for r in rare.groupBy(shape.alias("s")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")).collect()}
     inside = np.zeros((SHAPES, 3))  # tokens, discount, log10 of an unseen word's share
     for s in range(SHAPES):
@@ -191,10 +244,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             d = min(0.9, max(0.1, r["n1"] / max(1, r["n1"] + 2 * r["n2"])))
             inside[s] = r["n"], d, math.log10(d * r["v"] / r["n"])
     base_of = math.log10(n + v + 1) if n else 0.0
-    shared = spark.sparkContext.broadcast((number, known, table.astype("f8"), inside))
+    shared = spark.sparkContext.broadcast((number, known, table.astype("f8"), inside, cond))
 
     def run(batches):
-        number, known, table, inside = shared.value
+        number, known, table, inside, cond = shared.value
         part, i = TaskContext.get().partitionId(), 0
         base_known, flat = np.log10(known + 1.0) if len(known) else np.zeros(0), table.ravel()
         for batch in batches:
@@ -209,9 +262,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if len(odd):
                     ids[odd] = [shape_of(words[j]) for j in odd.tolist()]
                 score = float(flat[_triples(ids.tolist())].sum())
-                mid = at[at >= FREQUENT]
+                if len(odd):
+                    before = np.concatenate(([START], ids[:-1]))[odd]
+                    item = np.where((at[odd] >= FREQUENT) & (at[odd] < FREQUENT + own), at[odd] - FREQUENT, own + ids[odd] - FREQUENT)
+                    score += float(cond[before, item].sum(dtype="f8"))
+                mid = at[at >= FREQUENT + own]
                 if len(mid):
-                    cells = inside[ids[at >= FREQUENT] - FREQUENT]
+                    cells = inside[ids[at >= FREQUENT + own] - FREQUENT]
                     score += float(np.log10((known[mid] - cells[:, 1]) / cells[:, 0]).sum())
                 near = at[at >= 0]
                 for column, value in zip(out, ((part << 40) + i, ident, held, len(words) + 1, len(near), float(base_known[near].sum()), score, far), strict=True):

@@ -234,6 +234,30 @@ def test_language_model(spark, odd):
     assert lm.score_texts(empty(odd)).count() == 0
 
 
+def test_language_model_takes_every_triple_and_more_words(spark):
+    from plinth.llm import lm
+
+    rng = np.random.default_rng(3)
+    s = lm.SYMBOLS
+    triples = np.array([(a * s + b) * s + (3 * a + b) % 40 for a in range(40) for b in range(40)])
+    counts, by = rng.integers(1, 50, len(triples)), rng.permutation(len(triples))
+    assert np.allclose(lm.train(triples, counts, steps=20), lm.train(triples[by], counts[by], steps=20), atol=1e-4)
+
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(100)]
+    after = {"the": [f"ga{i}" for i in range(8)], "of": [f"vo{i}" for i in range(8)]}
+
+    def text():
+        return " ".join(x for _ in range(250) for k in after for x in (k, rng.choice(after[k] if rng.random() < 0.95 else common), *rng.choices(common[:85], k=2)))
+
+    docs = [text() for _ in range(70)] + ["the ga1 of vo1 the ga3 of vo3", "the vo1 of ga1 the vo3 of ga3"]
+    # each frequent word is more frequent than any of the two groups, which have no symbols of their own
+    docs = [d + " " + " ".join(f"c{i}" for i in range(86) for _ in range(6)) if i < 70 else d for i, d in enumerate(docs)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score_texts(df).collect()}
+    assert got[70] > got[71] + 2
+
+
 def test_quality_separates_planted_defects(spark):
     from plinth.llm import quality
 
