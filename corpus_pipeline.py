@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from plinth.llm import ngrams, packing, quality, secrets, toxicity
 
-#: Documents under this quality go; lower than the operator's own threshold, so that doubtful ones stay.
-LEAST_QUALITY = 0.3
-
 #: No SQL can say the first stage; the stages are tested against brute force.
 ORACLE_SQL = None
 
@@ -24,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _, _, weights = quality.fit(docs)
     rated = quality.rate_texts(docs, weights, column="_quality")
-    return rated.filter(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
+    return rated.filter(F.col("_quality") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

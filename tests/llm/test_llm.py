@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD_TEXTS = [None, "", " ", "a", "Hello, World. it's 12.5", "Été  日本\n\n\U0001f642 x", "=" * 700, "word " * 3000, "näive \x1c x"]
@@ -326,3 +327,14 @@ def test_pipeline_stages_and_decisions(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
     packed = corpus_pipeline.run(spark, d)
     assert packed.select("doc_id").distinct().count() == docs.count() and json.dumps(names)
+
+
+def test_pipeline_drops_what_the_quality_operator_rejects(spark, monkeypatch):
+    import corpus_pipeline
+    from plinth.llm import quality
+
+    scores = {1: 0.1, 2: 0.3, 3: 0.45, 4: 0.5, 5: 0.9}
+    docs = spark.createDataFrame([(i, f"t{i}", "en", "s", 2) for i in scores], DOCS)
+    monkeypatch.setattr(quality, "fit", lambda docs: (0.9, None, None))
+    monkeypatch.setattr(quality, "rate_texts", lambda docs, weights, column: docs.withColumn(column, F.element_at(F.array(*map(F.lit, scores.values())), F.col("doc_id").cast("int"))))
+    assert {r.doc_id for r in corpus_pipeline.drop_poor(spark, docs, "").collect()} == {i for i, x in scores.items() if x >= quality.THRESHOLD}
