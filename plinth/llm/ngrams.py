@@ -1,8 +1,8 @@
-"""Near-duplicate texts: a MinHash LSH forest over word n-grams, exact Jaccard verification, distributed components.
+"""Near-duplicate texts: banded MinHash over word n-grams, exact Jaccard verification, distributed components.
 
-Texts with the same set of n-grams are one class first.  Each class has ``TREES`` signatures of up to ``DEEPEST`` values;
-a tree is the trie of sorted signatures, and classes meet in it where they share a prefix.  The prefix is shortened from
-the deepest one for as long as a pair right at the threshold would be missed more often than the target recall allows.
+Texts with the same set of n-grams are one class first.  Each class has ``TREES`` bands, called trees here: one hash each
+of as many MinHash values as leave a pair right at the threshold missed no more often than the target recall allows, at
+most ``DEEPEST``.  The number follows from the constants alone; classes meet in a tree where their hashes are equal.
 Classes that meet in any tree form provisional groups, by connected components over one edge a member; inside a group
 every two members are compared by the exact Jaccard similarity of their n-grams, in blocks.  Blocks give counts and a
 spanning forest, never lists of pairs.
