@@ -1,16 +1,20 @@
-"""Distributed connected components, and the dealing out of groups whose members are all compared."""
+"""Distributed connected components, and the comparison of rows that meet in some hash table, each pair once."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage_table
 
-#: Members of a block; larger groups are compared as pairs of blocks, each pair one unit of work.
-BLOCK = 128
-#: Rows of the small groups that make one unit of work, about.
-BUNDLE = 1500
+#: Members of a block; larger nodes are compared as pairs of blocks.  Keys alone are compared in blocks of SUB of these.
+BLOCK, SUB = 128, 8
+#: Rows, and bytes of their payloads, that make one unit of work, about.
+BUNDLE, BUNDLE_BYTES = 1500, 8_000_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -40,22 +44,6 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h % 1000003)).first())
 
 
-def deal(members: DataFrame, group: Column, size: Column, key: Column, rows: int) -> DataFrame:
-    """``members`` with the columns task, a, b, mine: every two members of a group meet in exactly one task.
-
-    A group of up to BLOCK members is one unit, bundled with others by hash; a larger one is cut into blocks by the hash
-    of ``key`` and each pair of blocks (a <= b) is a task of its own.  ``mine`` is the block of the row; ``rows`` is the
-    number of member rows, from which the number of bundles follows.
-    """
-    bundles = max(1, rows // BUNDLE)
-    blocks = F.ceil(size / BLOCK).cast("int")
-    dealt = members.withColumn("_n", blocks).withColumn("mine", F.when(F.col("_n") > 1, F.pmod(F.xxhash64(key), F.col("_n")).cast("int")).otherwise(0))
-    others = F.sequence(F.lit(0), F.col("_n") - 1)
-    dealt = dealt.withColumn("other", F.explode(others)).withColumn("a", F.least("mine", "other")).withColumn("b", F.greatest("mine", "other"))
-    task = F.when(F.col("_n") > 1, F.xxhash64(group, "a", "b")).otherwise(F.pmod(F.xxhash64(group), F.lit(bundles)).cast("long"))
-    return dealt.withColumn("task", task).drop("_n", "other")
-
-
 class Links:
     """Collects the links of one task: counts by member, and a spanning forest as (member, root)."""
 
@@ -74,3 +62,124 @@ class Links:
         a, b = self.find(i), self.find(j)
         if a != b:
             self.parent[max(a, b)] = min(a, b)
+
+
+#: From the signatures of some rows: their keys [row, table], and those of an earlier search (None if there was none).
+Keys = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray | None]]
+
+
+def new_pairs(now: np.ndarray, before: np.ndarray | None, table: int, sizes: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i < j) of rows that share a key in ``table``, but in no table before it and in none of an earlier
+    search, and of whose sizes the smaller is at least ``ratio`` times the larger."""
+    m = len(now)
+    if m <= 64:
+        i, j = np.triu_indices(m, 1)
+        ok = np.minimum(sizes[i], sizes[j]) >= ratio * np.maximum(sizes[i], sizes[j])
+        ok &= ~(now[i, :table] == now[j, :table]).any(axis=1)
+        if before is not None:
+            ok &= ~(before[i] == before[j]).any(axis=1)
+        return i[ok], j[ok]
+    ok = np.triu(np.minimum(sizes[:, None], sizes) >= ratio * np.maximum(sizes[:, None], sizes), 1)
+    columns = [now[:, k] for k in range(table)] + ([] if before is None else list(before.T))
+    for n, k in enumerate(columns):
+        ok &= k[:, None] != k
+        if n % 6 == 0 and not ok.any():
+            break
+    return np.nonzero(ok)
+
+
+def _units(table: pa.Table, names: tuple[str, ...]):
+    units: dict = {}
+    for i, unit in enumerate(zip(*(table.column(c).to_pylist() for c in names), strict=True)):
+        units.setdefault(unit, []).append(i)
+    return units
+
+
+def meetings(placed: DataFrame, signatures: DataFrame, keys: Keys, ratio: float, name: str) -> DataFrame:
+    """Who must be compared: rows (t, node, lo, hi, mine, digest, size, sig), every pair in one (t, node, lo, hi) alone.
+
+    ``placed`` has (t, node, digest); ``signatures`` (digest, size, sig).  Members of a node meet in blocks by the hash
+    of their digests, so no task holds a large node; only signatures travel here, and only members with a pair that met
+    nowhere before are given on.
+    """
+    sizes = stage_table(placed.groupBy("t", "node").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), f"{name}-nodes")
+    coarse, wide = F.ceil(F.col("members") / (BLOCK * SUB)), F.col("members") > BLOCK * SUB
+    rows = sizes.agg(F.sum(F.col("members") * coarse).alias("n")).first()["n"] or 0
+    fine = F.when(wide, coarse * SUB).otherwise(F.ceil(F.col("members") / BLOCK))
+    dealt = placed.join(sizes, ["t", "node"]).withColumn("mine", F.pmod(F.xxhash64("digest"), fine).cast("int")).withColumn("part", F.floor(F.col("mine") / SUB).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), (coarse - 1).cast("int"))))
+    dealt = dealt.select("t", "node", "digest", "mine", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), F.pmod(F.xxhash64("t", "node", F.least("part", "other"), F.greatest("part", "other")), F.lit(max(1, rows // BUNDLE))).alias("task"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        sig, size, mine = table.column("sig").to_pylist(), table.column("size").to_numpy(), table.column("mine").to_numpy()
+        taken: list[int] = []
+        low, high = [], []
+        for (t, _, a, b), at in _units(table, ("t", "node", "a", "b")).items():
+            now, before = keys([sig[i] for i in at])
+            of = mine[at]
+            left, right = new_pairs(now, before, t, size[at], ratio)
+            if a != b:
+                apart = of[left] // SUB != of[right] // SUB
+                left, right = left[apart], right[apart]
+            lo, hi = np.minimum(of[left], of[right]), np.maximum(of[left], of[right])
+            for x, y in sorted(set(zip(lo.tolist(), hi.tolist(), strict=True))):
+                here = (lo == x) & (hi == y)
+                members = np.union1d(left[here], right[here])
+                taken += [at[k] for k in members.tolist()]
+                low += [x] * len(members)
+                high += [y] * len(members)
+        return table.take(pa.array(taken, pa.int64())).select(["t", "node", "mine", "digest", "size", "sig"]).append_column("lo", pa.array(low, pa.int32())).append_column("hi", pa.array(high, pa.int32()))
+
+    node = dict(placed.dtypes)["node"]
+    schema = f"t int, node {node}, mine int, digest binary, size long, sig binary, lo int, hi int"
+    return stage_table(dealt.join(signatures, "digest").groupBy("task").applyInArrow(meet, schema), f"{name}-meetings")
+
+
+def compare(met: DataFrame, payloads: DataFrame, keys: Keys, ratio: float, near: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], name: str) -> DataFrame:
+    """Rows (u, links, v) for every member with links in a unit, and (null, n, null, bin) for the links by likeness.
+
+    ``payloads`` has (digest, copies, bytes); ``near`` gives, for the payloads of a unit, the matrix of linked pairs and
+    that of likenesses, of which ``bin`` is the thousandths.  Counts and a spanning forest leave a unit, never its pairs.
+    """
+    weight = met.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).first()
+    bundles = max(1, int(weight["n"]) // BUNDLE, int(weight["b"] or 0) * 8 // BUNDLE_BYTES)
+    dealt = met.join(payloads, "digest").withColumn("task", F.pmod(F.xxhash64("t", "node", "lo", "hi"), F.lit(bundles)))
+
+    def verify(table: pa.Table) -> pa.Table:
+        sig, size, mine = table.column("sig").to_pylist(), table.column("size").to_numpy(), table.column("mine").to_numpy()
+        digest, copies, raw = (table.column(c).to_pylist() for c in ("digest", "copies", "bytes"))
+        out: list[list] = [[], [], [], []]
+        likes = np.zeros(1001, "i8")
+        for (t, _, lo, hi), at in _units(table, ("t", "node", "lo", "hi")).items():
+            now, before = keys([sig[i] for i in at])
+            left, right = new_pairs(now, before, t, size[at], ratio)
+            linked, like = near([raw[i] for i in at])
+            ok = linked[left, right] & ((lo == hi) | (mine[at][left] != mine[at][right]))
+            left, right = left[ok], right[ok]
+            likes += np.bincount(np.clip(like[left, right] * 1000 + 1e-6, 0, 1000).astype(int), minlength=1001)
+            links = Links(len(at))
+            for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                links.add(i, j, copies[at[i]], copies[at[j]])
+            for i, c in enumerate(links.count):
+                if c:
+                    for column, value in zip(out, (digest[at[i]], c, digest[at[links.find(i)]], None), strict=True):
+                        column.append(value)
+        for b in np.nonzero(likes)[0].tolist():
+            for column, value in zip(out, (None, int(likes[b]), None, b), strict=True):
+                column.append(value)
+        return pa.table({"u": pa.array(out[0], pa.binary()), "links": pa.array(out[1], pa.int64()), "v": pa.array(out[2], pa.binary()), "bin": pa.array(out[3], pa.int32())})
+
+    return stage_table(dealt.groupBy("task").applyInArrow(verify, "u binary, links long, v binary, bin int"), f"{name}-links")
+
+
+def by_row(rows: DataFrame, classes: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """Class results (u, links, v) brought back to the rows (id, digest): name, n_links, component_id, kept, digest."""
+    found = found.filter("u is not null")
+    counts = found.groupBy(F.col("u").alias("digest")).agg(F.sum("links").alias("links"))
+    parts = connected_components(found.select("u", "v")).withColumnRenamed("node", "digest")
+    linked = classes.select("digest", "copies", "first").join(parts, "digest", "left")
+    heads = linked.filter("component is not null").groupBy("component").agg(F.min("first").alias("head"))
+    info = linked.join(counts, "digest", "left").join(heads, "component", "left").select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("head", "first").alias("head"))
+    out = rows.select("id", "digest").join(info, "digest", "left")
+    head = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("head"))
+    return out.select(F.col("id").alias(name), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), head.alias("component_id"), F.coalesce(F.col("id") == head, F.lit(False)).alias("kept"), "digest")

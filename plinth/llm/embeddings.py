@@ -1,8 +1,9 @@
 """Near-duplicate vectors: random-hyperplane signs in several tables, exact cosines, distributed components.
 
 Equal vectors are one class first.  Each class has one bucket in each table, named by the signs of its products with
-that table's hyperplanes.  Classes that share a bucket are compared, in blocks, by cosine in double precision; a pair
-that meets in several tables counts in the first one.  Blocks give counts and a spanning forest, never lists of pairs.
+that table's hyperplanes.  Bucket numbers alone say which members have a pair that meets in no table before; only their
+vectors travel, and are compared, in blocks, by cosine in double precision.  Blocks give counts and a spanning forest,
+never lists of pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, small_batches, stage_table
-from .components import Links, connected_components, deal
+from .components import by_row, compare, meetings
 
 COSINE, RECALL, SEED = 0.95, 0.9995, 20240229
 _planes: dict = {}
@@ -25,18 +26,18 @@ _planes: dict = {}
 def shape(n: int, cosine: float, recall: float) -> tuple[int, int]:
     """(bits, tables): bits grow with the logarithm of the number of vectors; tables follow from the recall of a pair
     right at the threshold, 1 - (1 - p^bits)^tables, where p = 1 - angle / pi."""
-    bits = min(24, max(8, math.ceil(math.log2(max(2, n))) + 4))
+    bits = min(62, max(8, math.ceil(math.log2(max(2, n))) + 4))
     p = 1 - math.acos(cosine) / math.pi
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - p**bits))
 
 
 def buckets_of(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """An (n, tables) array of int32 bucket numbers."""
+    """An (n, tables) array of bucket numbers."""
     key = (vectors.shape[1], bits, tables)
     if key not in _planes:
         _planes[key] = np.random.default_rng([SEED, *key]).standard_normal((vectors.shape[1], bits * tables))
     signs = (vectors @ _planes[key] > 0).reshape(len(vectors), tables, bits)
-    return (signs * (1 << np.arange(bits, dtype="i4"))).sum(axis=2, dtype="i4")
+    return signs @ (1 << np.arange(bits, dtype="i8"))
 
 
 def _classes(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -75,61 +76,29 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     def hash_them(batches):
         for batch in batches:
             raws = batch.column(1).to_pylist()
-            out: list[bytes] = [b""] * len(raws)
+            out: list = [None] * len(raws)
             for size in {len(r) for r in raws}:
                 at = [i for i, r in enumerate(raws) if len(r) == size]
                 for i, b in zip(at, buckets_of(np.frombuffer(b"".join(raws[i] for i in at), "<f8").reshape(len(at), -1), bits, tables), strict=True):
-                    out[i] = b.astype("<i4").tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary()), pa.array([list(np.frombuffer(o, "<i4")) for o in out], pa.list_(pa.int32()))], names=["digest", "vec", "copies", "raw", "buckets"])
-
-    hashed = stage_table(classes.select("digest", "vec", "copies").mapInArrow(hash_them, "digest binary, vec binary, copies long, raw binary, buckets array<int>"), "buckets")
-    placed = hashed.select("digest", F.length("vec").alias("dim"), F.posexplode("buckets").alias("t", "bucket"))
-    shared = placed.groupBy("dim", "t", "bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = stage_table(placed.join(shared, ["dim", "t", "bucket"]), "bucket-members")
-    n = members.count()
-    dealt = deal(members, F.struct("dim", "t", "bucket"), F.col("size"), F.col("digest"), n).join(hashed.drop("buckets"), "digest")
-
-    def verify(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_pylist() for c in ("dim", "t", "bucket", "mine", "a", "b", "digest", "copies", "vec", "raw")}
-        units: dict = {}
-        for i, unit in enumerate(zip(cols["dim"], cols["t"], cols["bucket"], cols["a"], cols["b"], strict=True)):
-            units.setdefault(unit, []).append(i)
-        out: list[list] = [[], [], []]
-        for (dim, t, _, a, b), at in units.items():
-            x = np.frombuffer(b"".join(cols["vec"][i] for i in at), "<f8").reshape(len(at), -1)
-            x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            raw = np.frombuffer(b"".join(cols["raw"][i] for i in at), "<i4").reshape(len(at), -1)[:, :t]
-            mine = np.array([cols["mine"][i] for i in at])
-            left, right = np.nonzero(np.triu(x @ x.T >= cosine, 1))
-            ok = np.ones(len(left), bool) if a == b else mine[left] != mine[right]
-            for s in range(0, len(left), 65536):  # a pair counts in the first table in which it meets
-                ok[s : s + 65536] &= ~(raw[left[s : s + 65536]] == raw[right[s : s + 65536]]).any(axis=1)
-            links = Links(len(at))
-            copies = [cols["copies"][i] for i in at]
-            for i, j in zip(left[ok].tolist(), right[ok].tolist(), strict=True):
-                links.add(i, j, copies[i], copies[j])
-            for i, c in enumerate(links.count):
-                if c:
-                    out[0].append(cols["digest"][at[i]])
-                    out[1].append(c)
-                    out[2].append(cols["digest"][at[links.find(i)]])
-        return pa.table({"u": pa.array(out[0], pa.binary()), "links": pa.array(out[1], pa.int64()), "v": pa.array(out[2], pa.binary())})
-
-    found = stage_table(dealt.groupBy("task").applyInArrow(verify, "u binary, links long, v binary"), "links")
-    return _by_row(rows, classes, found, "vec_id")
-
-
-def _by_row(rows: DataFrame, classes: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """Class results brought back to the rows (id, digest)."""
-    counts = found.groupBy(F.col("u").alias("digest")).agg(F.sum("links").alias("links"))
-    parts = connected_components(found.select("u", "v")).withColumnRenamed("node", "digest")
-    linked = classes.select("digest", "copies", "first").join(parts, "digest", "left")
-    heads = linked.filter("component is not null").groupBy("component").agg(F.min("first").alias("head"))
-    info = linked.join(counts, "digest", "left").join(heads, "component", "left").select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("head", "first").alias("head"))
-    out = rows.select("id", "digest").join(info, "digest", "left")
-    head = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("head"))
-    return out.select(F.col("id").alias(name), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), head.alias("component_id"), F.coalesce(F.col("id") == head, F.lit(False)).alias("kept"))
+                    out[i] = b
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([o.astype("<i8").tobytes() for o in out], pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["digest", "vec", "copies", "sig", "buckets"])
+
+    hashed = stage_table(classes.select("digest", "vec", "copies").mapInArrow(hash_them, "digest binary, vec binary, copies long, sig binary, buckets array<long>"), "buckets")
+    placed = hashed.select(F.posexplode("buckets").alias("t", "bucket"), F.concat_ws(":", F.length("vec"), "bucket").alias("node"), "digest").select("t", "node", "digest")
+
+    def keys(raw: list[bytes]):
+        return np.frombuffer(b"".join(raw), "<i8").reshape(len(raw), tables), None
+
+    def near(raw: list[bytes]):
+        x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+        x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        like = x @ x.T
+        return like >= cosine, like
+
+    met = meetings(placed, hashed.select("digest", (F.length("vec") / 8).cast("long").alias("size"), "sig"), keys, 0.0, "vectors")
+    found = compare(met, hashed.select("digest", "copies", F.col("vec").alias("bytes")), keys, 0.0, near, "vectors")
+    return by_row(rows, classes, found, "vec_id").drop("digest")
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
-"""Near-duplicate texts: banded MinHash over word n-grams, exact Jaccard verification, distributed components.
-
-Texts with the same set of n-grams are one class first.  Each class has ``TREES`` bands, called trees here: one hash each
-of as many MinHash values as leave a pair right at the threshold missed no more often than the target recall allows, at
-most ``DEEPEST``.  The number follows from the constants alone; classes meet in a tree where their hashes are equal.
-Classes that meet in any tree form provisional groups, by connected components over one edge a member; inside a group
-every two members are compared by the exact Jaccard similarity of their n-grams, in blocks.  Blocks give counts and a
-spanning forest, never lists of pairs.
+"""Near-duplicate texts: a forest of sorted MinHash prefix tries, exact Jaccard verification, distributed components.
+
+Texts with the same set of n-grams are one class first.  Each class has a signature of ``DEEPEST`` MinHash values in each
+of ``TREES`` trees.  A tree is the trie of its signatures, kept as the sorted list: how far a signature agrees with its
+neighbours there says at which depths it shares a node with anyone.  Classes are compared where they share a node at the
+deepest level first.  The similarities of the links found say how many links a depth misses (each link counts as one
+over its chance to be found), and matched prefixes are shortened until the recall so estimated reaches the target; a
+pair is compared once, in the first tree in which it meets at the first depth at which it does.  Comparisons take
+members of one node, in blocks, by the exact Jaccard similarity of their n-grams (as 64-bit hashes); they give counts
+and a spanning forest, never lists of pairs.
 """
 
 from __future__ import annotations
@@ -15,24 +17,41 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, small_batches, stage_table, text_of
-from .components import Links, connected_components, deal
-from .embeddings import _by_row
+from .components import by_row, compare, meetings
 
 WORDS, SIMILARITY, RECALL, TREES, DEEPEST, SEED = 5, 0.8, 0.999, 24, 10, 20240301
 #: Columns of one product when the n-grams of a block are compared.
 CHUNK = 8192
 
 
-def prefix_depth(similarity: float, recall: float, trees: int = TREES, deepest: int = DEEPEST) -> int:
-    """The longest prefix whose recall, 1 - (1 - s^depth)^trees, reaches the target; one value if none does."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def chance(similarity, depth: int, trees: int = TREES):
+    """The chance that a pair of this similarity shares a node of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def least_depth(similarity: float, recall: float, trees: int = TREES, deepest: int = DEEPEST) -> int:
+    """The depth that reaches the target whatever the links are like; 1 if none does."""
+    return next((d for d in range(deepest, 1, -1) if chance(similarity, d, trees) >= recall), 1)
+
+
+def shorten(links: dict[int, int], depth: int, similarity: float, recall: float, trees: int = TREES) -> int:
+    """The depth to search next, ``depth`` itself if the recall reached is enough.
+
+    ``links`` counts the links found so far by thousandths of similarity.  Each stands for one over its chance of being
+    found links of the corpus; one more link, right at the threshold, stands for those nobody has seen.
+    """
+    s = np.array([similarity, *(max(similarity, b / 1000) for b in sorted(links))])
+    n = np.array([1.0, *(links[b] for b in sorted(links))])
+    n[1:] /= chance(s[1:], depth, trees)
+    for d in range(depth, 0, -1):
+        if (n * chance(s, d, trees)).sum() >= recall * n.sum():
+            return d
+    return 1
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -51,32 +70,107 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def _keys(grams: np.ndarray, odd: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """One 64-bit key a tree: the first ``depth`` MinHash values of its signature, hashed together."""
+def signature(grams: np.ndarray, odd: np.ndarray) -> bytes:
+    """Sixteen bits of each MinHash value, big-endian, so that bytes sort as the values do."""
     least = np.full(len(odd), np.iinfo("u8").max, "u8")
-    for s in range(0, len(grams), 2048):
-        np.minimum(least, (grams[None, s : s + 2048] * odd[:, None]).min(axis=1), out=least)
-    key = np.zeros(trees, "u8")
-    for column in least.reshape(trees, depth).T:
-        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(31)
-    return key.view("i8")
+    for s in range(0, len(grams), 512):
+        np.minimum(least, (grams[None, s : s + 512] * odd[:, None]).min(axis=1), out=least)
+    return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(">u2").tobytes()
+
+
+def digest_of(grams: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(grams.astype("<u8").tobytes(), digest_size=16).digest() if len(grams) else None
 
 
-def _signed(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
-    """Rows id, digest of the set of n-grams (null without words), keys."""
+def _signed(docs: DataFrame, words: int, trees: int) -> DataFrame:
+    """Rows id, digest of the set of n-grams (null without words), size of the set, sig."""
 
     def run(batches):
-        odd = np.random.default_rng(SEED).integers(0, 2**63, trees * depth, dtype="u8") * np.uint64(2) + np.uint64(1)
+        odd = np.random.default_rng(SEED).integers(0, 2**63, trees * DEEPEST, dtype="u8") * np.uint64(2) + np.uint64(1)
+        for batch in batches:
+            sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([digest_of(g) for g in sets], pa.binary()), pa.array([len(g) for g in sets], pa.int64()), pa.array([signature(g, odd) if len(g) else None for g in sets], pa.binary())],
+                names=["id", "digest", "size", "sig"],
+            )
+
+    return docs.mapInArrow(run, "id long, digest binary, size long, sig binary")
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading values two lists of paths (tree, then values) have in common; none in different trees."""
+    return np.where(a[:, 0] == b[:, 0], np.cumprod(a[:, 1:] == b[:, 1:], axis=1).sum(axis=1), 0)
+
+
+def forest(classes: DataFrame, trees: int, least: int) -> DataFrame:
+    """(t, label, digest, deep) of the signatures that share a node of depth ``least`` or more with another one; ``deep``
+    is the depth of the deepest such node.
+
+    The signatures of all trees are sorted by range partitions, and each is held against its neighbours.  Equal
+    signatures are told apart by their digests, so a frequent one may lie in many partitions; the first and the last
+    row of each partition (two rows a partition) mend the seams.
+    """
+    labels = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("sig", t * (2 * DEEPEST) + 1, F.lit(2 * DEEPEST)))
+    rows = classes.select("digest", F.posexplode(labels).alias("t", "label"))
+    rows = rows.repartitionByRange("t", "label", "digest").sortWithinPartitions("t", "label", "digest")
+
+    def sweep(batches):
+        part, held, before, first = TaskContext.get().partitionId(), None, 0, True
         for batch in batches:
-            digests, keys = [], []
-            for t in batch.column(1).to_pylist():
-                grams = shingles(t, words)
-                digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
-                keys.append(_keys(grams, odd, trees, depth) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "keys"])
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            path = np.empty((batch.num_rows, DEEPEST + 1), "i4")
+            path[:, 0] = batch.column(0).to_numpy()
+            path[:, 1:] = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, DEEPEST)
+            same = agreement(path[:-1], path[1:])
+            left = np.concatenate(([before], same))
+            yield from given(batch.slice(0, batch.num_rows - 1), np.maximum(left[:-1], same), part, 1 if first else 0, False)
+            first = first and batch.num_rows == 1
+            held, before = batch.slice(batch.num_rows - 1), int(left[-1])
+        if held is not None:
+            yield from given(held, np.array([before]), part, 1 if first else 0, True)
 
-    return docs.mapInArrow(run, "id long, digest binary, keys array<long>")
+    def given(batch, deep, part, first, last):
+        edge = np.zeros(batch.num_rows, "i4")
+        if batch.num_rows:
+            edge[0] += first
+            edge[-1] += 2 * last
+            keep = pa.array((deep >= least) | (edge > 0))
+            kept = pa.table([*batch.columns, pa.array(deep.astype("i4")), pa.array(edge), pa.array(np.full(batch.num_rows, part, "i4"))], names=["t", "label", "digest", "deep", "edge", "part"]).filter(keep)
+            yield from kept.combine_chunks().to_batches()
+
+    swept = stage_table(rows.select("t", "label", "digest").mapInArrow(sweep, "t int, label binary, digest binary, deep int, edge int, part int"), "forest")
+    ends = sorted(swept.filter("edge > 0").select("part", "edge", "t", "label").collect(), key=lambda r: (r["part"], r["edge"] & 2))
+    more: dict[tuple[int, int], int] = {}
+    path = lambda r: np.array([[r["t"], *np.frombuffer(bytes(r["label"]), ">u2")]], "i4")
+    for a, b in zip(ends, ends[1:], strict=False):
+        if a["part"] != b["part"]:
+            n = int(agreement(path(a), path(b))[0])
+            for r in (a, b):
+                key = (r["part"], r["edge"])
+                more[key] = max(n, more.get(key, 0))
+    seams = classes.sparkSession.createDataFrame([(p, e, n) for (p, e), n in sorted(more.items())], "part int, edge int, more int")
+    mended = swept.join(F.broadcast(seams), ["part", "edge"], "left").withColumn("deep", F.greatest("deep", F.coalesce("more", F.lit(0))))
+    return mended.filter(F.col("deep") >= least).select("t", "label", "digest", "deep")
+
+
+def _prefixes(trees: int, depth: int, done: int | None):
+    """Keys of signatures at a depth, and at the depth searched before."""
+
+    def at(values: np.ndarray, d: int) -> np.ndarray:
+        key = np.zeros(values.shape[:2], "u8")
+        for k in range(d):
+            key = (key ^ values[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(31)
+        return key
+
+    def keys(sigs: list[bytes]):
+        values = np.frombuffer(b"".join(sigs), ">u2").reshape(len(sigs), trees, DEEPEST).astype("u8")
+        return at(values, depth), None if done is None else at(values, done)
+
+    return keys
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -97,75 +191,84 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, words: int = WORDS, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, words: int = WORDS, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text", with_digest: bool = False, depths: list | None = None) -> DataFrame:
     """One row per input row: doc_id, n_links (other rows with a similarity of ``similarity`` or more), class_id (the
-    least id of its group of linked rows), kept (doc_id = class_id).
+    least id of its group of linked rows), kept (doc_id = class_id), and on demand the digest of the set of n-grams.
 
     Null and blank texts have no n-grams and link with nothing.  Repeated rows, ids included, count each; a class whose
-    ids are all null has a null class_id.  Other columns are ignored; an empty table gives an empty one.
+    ids are all null has a null class_id.  Other columns are ignored; an empty table gives an empty one.  The depths
+    searched are appended to ``depths``.
     """
     small_batches(docs.sparkSession)
-    depth = prefix_depth(similarity, recall, trees)
+    least = least_depth(similarity, recall, trees)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("t"))
-    signed = stage_table(_signed(texts, words, trees, depth), "signatures")
-    classes = stage_table(signed.filter("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"), F.any_value("keys").alias("keys")), "text-classes")
-    placed = classes.select("digest", F.posexplode("keys").alias("t", "key"))
-    hubs = placed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size"), F.min("digest").alias("hub")).filter("size > 1")
-    meet = placed.join(hubs, ["t", "key"]).select(F.col("digest").alias("u"), F.col("hub").alias("v"))
-    groups = connected_components(meet)
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    grouped = stage_table(groups.join(sizes, "component").withColumnRenamed("node", "digest").join(classes.select("digest", "copies", "first"), "digest"), "groups")
-    n = grouped.count()
+    signed = stage_table(_signed(texts, words, trees), "signatures")
+    classes = stage_table(
+        signed.filter("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"), F.any_value("size").alias("size"), F.any_value("sig").alias("sig")), "text-classes"
+    )
+    matched = stage_table(forest(classes, trees, least), "matched")
+    wanted = classes.join(matched.select("digest").distinct(), "digest", "left_semi")
 
     # one text of each class; its digest is made again, so rows that share an id do no harm
-    wanted = signed.select("id", "digest").join(grouped.select("digest", "first"), "digest").filter(F.col("id").eqNullSafe(F.col("first"))).select("id").distinct()
-
     def gram_rows(batches):
         for batch in batches:
-            sets = [shingles(t, words).astype("<u8").tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "grams"])
-
-    named = texts.join(wanted.filter("id is not null"), "id", "left_semi").unionByName(texts.filter("id is null").limit(0) if wanted.filter("id is null").isEmpty() else texts.filter("id is null"))
-    grams = stage_table(named.select("t").mapInArrow(gram_rows, "digest binary, grams binary"), "grams").groupBy("digest").agg(F.any_value("grams").alias("grams"))
-    members = grouped.join(grams, "digest").select("component", "size", "digest", "copies", "grams")
-    dealt = deal(members, F.col("component"), F.col("size"), F.col("digest"), n)
-
-    def verify(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_pylist() for c in ("component", "mine", "a", "b", "digest", "copies")}
-        raw = table.column("grams").to_pylist()
-        units: dict = {}
-        for i, unit in enumerate(zip(cols["component"], cols["a"], cols["b"], strict=True)):
-            units.setdefault(unit, []).append(i)
-        out: list[list] = [[], [], []]
-        for (_, a, b), at in units.items():
-            sets = [np.frombuffer(raw[i], "<u8") for i in at]
-            size = np.array([len(s) for s in sets], "f8")
-            both = _intersections(sets).astype("f8")
-            near = np.triu(both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9, 1)
-            mine = np.array([cols["mine"][i] for i in at])
-            if a != b:
-                near &= mine[:, None] != mine[None, :]
-            links, copies = Links(len(at)), [cols["copies"][i] for i in at]
-            for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-                links.add(i, j, copies[i], copies[j])
-            for i, c in enumerate(links.count):
-                if c:
-                    out[0].append(cols["digest"][at[i]])
-                    out[1].append(c)
-                    out[2].append(cols["digest"][at[links.find(i)]])
-        return pa.table({"u": pa.array(out[0], pa.binary()), "links": pa.array(out[1], pa.int64()), "v": pa.array(out[2], pa.binary())})
-
-    found = stage_table(dealt.groupBy("task").applyInArrow(verify, "u binary, links long, v binary"), "links")
-    return _by_row(signed.select("id", "digest"), classes.select("digest", "copies", "first"), found, "doc_id").withColumnRenamed("component_id", "class_id")
-
-
-def one_of_each(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is the class id of its group, one row for each id; rows with a null id all stay."""
-    ids = judged.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("doc_id", "_id")
-    chosen = docs.join(ids, F.col(id_col) == F.col("_id"))
-    once = chosen.filter("_n = 1").select(docs.columns)
-    repeated = chosen.filter("_n > 1").select(docs.columns).dropDuplicates([id_col])
-    return once.unionByName(repeated).unionByName(docs.filter(F.col(id_col).isNull()))
+            sets = [shingles(t, words) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([digest_of(s) for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["digest", "bytes"])
+
+    ids = wanted.select(F.col("first").alias("id"))
+    named = texts.join(ids.filter("id is not null").distinct(), "id", "left_semi")
+    if not ids.filter("id is null").isEmpty():
+        named = named.unionByName(texts.filter("id is null"))
+    grams = stage_table(named.select("t").mapInArrow(gram_rows, "digest binary, bytes binary"), "grams").filter("digest is not null").groupBy("digest").agg(F.any_value("bytes").alias("bytes"))
+    payloads = stage_table(wanted.select("digest", "copies").join(grams, "digest"), "payloads")
+
+    def near(raw: list[bytes]):
+        sets = [np.frombuffer(x, "<u8") for x in raw]
+        size, both = np.array([len(s) for s in sets], "f8"), _intersections(sets).astype("f8")
+        either = size[:, None] + size - both
+        return both >= similarity * either - 1e-9, both / either
+
+    depth, done, found, links = DEEPEST, None, None, {}
+    while True:
+        if depths is not None:
+            depths.append(depth)
+        placed = matched.filter(F.col("deep") >= depth).select("t", F.substring("label", 1, 2 * depth).alias("node"), "digest")
+        keys = _prefixes(trees, depth, done)
+        met = meetings(placed, wanted.select("digest", "size", "sig"), keys, similarity, "texts")
+        told = compare(met, payloads, keys, similarity, near, "texts")
+        for r in told.filter("u is null").groupBy("bin").agg(F.sum("links").alias("n")).collect():  # a thousand rows at most
+            links[r["bin"]] = links.get(r["bin"], 0) + r["n"]
+        found = told if found is None else found.unionByName(told)
+        shorter = max(least, shorten(links, depth, similarity, recall, trees))
+        if shorter >= depth:
+            break
+        depth, done = shorter, depth
+    out = by_row(signed, classes, found, "doc_id").withColumnRenamed("component_id", "class_id")
+    return out if with_digest else out.drop("digest")
+
+
+def one_of_each(docs: DataFrame, judged: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the class id of their group; rows with a null id all stay.
+
+    ``judged`` is what ``similar_texts`` gives with the digests.  Where rows share an id, one row of each of its texts
+    that is kept stays, and every blank one.
+    """
+    small_batches(docs.sparkSession)
+    ids = judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col("kept").cast("int")).alias("_kept")).withColumnRenamed("doc_id", "_id")
+    chosen = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_t")).join(ids.filter("_kept = 1"), "_id")
+    once = chosen.filter("_n = 1").select("_row.*")
+
+    def sign(batches):
+        for batch in batches:
+            for row in (batch.slice(i, 1) for i in range(batch.num_rows)):
+                digest = digest_of(shingles(row.column(2).to_pylist()[0], words))
+                yield pa.RecordBatch.from_arrays([row.column(0), row.column(1), pa.array([digest], pa.binary())], schema=pa.schema([*list(row.schema)[:2], pa.field("_digest", pa.binary())]))
+
+    row_type = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).schema["_row"].dataType.simpleString()
+    repeated = chosen.filter("_n > 1").select("_row", "_id", "_t").mapInArrow(sign, f"_row {row_type}, _id long, _digest binary")
+    texts = judged.filter("kept and digest is not null").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    told = repeated.filter("_digest is not null").join(texts, ["_id", "_digest"]).dropDuplicates(["_id", "_digest"]).select("_row.*")
+    return once.unionByName(told).unionByName(repeated.filter("_digest is null").select("_row.*")).unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op2_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:

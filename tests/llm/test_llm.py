@@ -112,11 +112,87 @@ def test_ngrams_against_brute_force(spark):
     links, parent = brute_links(sets, 0.8)
     got = {r.doc_id: (r.n_links, r.class_id, r.kept) for r in ngrams.similar_texts(df).collect()}
     assert got == {i: (links[i], parent[i], parent[i] == i) for i in range(len(texts))}
-    kept = {r.doc_id for r in ngrams.one_of_each(df, ngrams.similar_texts(df)).collect()}
+    kept = {r.doc_id for r in ngrams.one_of_each(df, ngrams.similar_texts(df, with_digest=True)).collect()}
     assert kept == {i for i in range(len(texts)) if parent[i] == i}
     assert ngrams.similar_texts(empty(df)).count() == 0
 
 
+def test_forest_is_the_sorted_trie(spark):
+    from plinth.llm import ngrams
+
+    rng = random.Random(3)
+    sigs = [bytes(b for _ in range(2) for b in [*(x for _ in range(ngrams.DEEPEST - 2) for x in (0, rng.randrange(2))), 0, rng.randrange(3), 0, rng.randrange(99)]) for _ in range(300)]
+    sigs += [sigs[0]] * 60
+    df = spark.createDataFrame([(i.to_bytes(4, "big"), s) for i, s in enumerate(sigs)], "digest binary, sig binary")
+    got = {(r.t, int.from_bytes(r.digest, "big")): r.deep for r in ngrams.forest(df, 2, 3).collect()}
+    for t in range(2):
+        labels = [s[t * 20 : t * 20 + 20] for s in sigs]
+        for i, a in enumerate(labels):
+            deep = max(next((d for d in range(10) if a[2 * d : 2 * d + 2] != b[2 * d : 2 * d + 2]), 10) for j, b in enumerate(labels) if i != j)
+            assert got.get((t, i), 0) == (deep if deep >= 3 else 0)
+
+
+def test_matched_prefixes_are_shortened_as_the_links_ask(spark):
+    from plinth.llm import ngrams
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+
+    def corpus(changes):
+        out = []
+        for _ in range(150):
+            w = [word() for _ in range(400)]
+            out.append(" ".join(w))
+            for _ in range(8):
+                v = list(w)
+                for k in range(changes):
+                    v[rng.randrange(len(v))] = word()
+                out.append(" ".join(v))
+        return spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")
+
+    near, far = [], []
+    assert ngrams.similar_texts(corpus(1), depths=near).filter("n_links > 0").count() == 1350
+    ngrams.similar_texts(corpus(7), depths=far).count()
+    assert near == [10] and far[0] == 10 and far[-1] < 10
+    assert ngrams.shorten({}, 10, 0.8, 0.999) == ngrams.least_depth(0.8, 0.999) == 6
+    assert ngrams.shorten({950: 100_000}, 10, 0.8, 0.999) == 10
+
+
+def test_rows_that_share_an_id_keep_each_of_their_texts(spark):
+    from plinth.llm import ngrams
+
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (1, a), (2, a), (None, b), (None, b), (3, ""), (3, None), (4, "c")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, digest string")
+    judged = ngrams.similar_texts(df, with_digest=True)
+    links = sorted(((r.doc_id or 0, r.n_links) for r in judged.collect()))
+    assert links == [(0, 2), (0, 2), (1, 2), (1, 2), (1, 2), (2, 2), (3, 0), (3, 0), (4, 0)]
+    kept = sorted((r.doc_id or 0, r.text or "") for r in ngrams.one_of_each(df, judged).collect())
+    assert kept == sorted([(0, b), (0, b), (1, a), (1, b), (3, ""), (3, ""), (4, "c")])
+
+
+def test_a_chain_makes_no_large_unit(spark):
+    """Texts that are each 0.6 like the next one: comparisons grow with the texts, not with the square of the chain."""
+    from plinth.llm import common, components, ngrams
+
+    words = [f"w{i}" for i in range(40 * 3000 + 200)]
+    df = spark.createDataFrame([(i, " ".join(words[40 * i : 40 * i + 164])) for i in range(3000)], "doc_id long, text string")
+    met = []
+    whole = components.meetings
+
+    def spy(*a):
+        out = whole(*a)
+        met.append(out.count())
+        return out
+
+    ngrams.meetings = spy
+    try:
+        got = ngrams.similar_texts(df).collect()
+    finally:
+        ngrams.meetings = whole
+    assert all(r.n_links == 0 for r in got) and sum(met) < 40 * 3000 and common.ROOT
+
+
 def test_embeddings_against_brute_force(spark):
     from plinth.llm import embeddings
 
