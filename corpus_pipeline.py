@@ -25,7 +25,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngrams.one_of_each(docs, ngrams.similar_texts(docs))
+    return ngrams.one_of_each(docs, ngrams.similar_texts(docs, with_digest=True))
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
