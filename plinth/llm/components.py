@@ -68,6 +68,13 @@ class Links:
 Keys = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray | None]]
 
 
+def with_payloads(met: DataFrame, payloads: DataFrame) -> DataFrame:
+    """What ``meetings`` gave, with the columns of ``payloads`` and tasks of even weight."""
+    weight = met.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).first()
+    bundles = max(1, int(weight["n"]) // BUNDLE, int(weight["b"] or 0) * 8 // BUNDLE_BYTES)
+    return met.join(payloads, "digest").withColumn("task", F.pmod(F.xxhash64("t", "node", "lo", "hi"), F.lit(bundles)))
+
+
 def new_pairs(now: np.ndarray, before: np.ndarray | None, table: int, sizes: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (i < j) of rows that share a key in ``table``, but in no table before it and in none of an earlier
     search, and of whose sizes the smaller is at least ``ratio`` times the larger."""
@@ -95,6 +102,21 @@ def _units(table: pa.Table, names: tuple[str, ...]):
     return units
 
 
+def deal(placed: DataFrame, block: int, sub: int, name: str) -> tuple[DataFrame, int]:
+    """Rows (t, node, digest, mine, a, b, task) and about how many: every two members of a node meet in one (a, b).
+
+    ``mine`` is the block of a member by the hash of its digest; a and b count groups of ``sub`` blocks.  Units of a task
+    are whole and small, whatever the sizes of nodes.
+    """
+    sizes = stage_table(placed.groupBy("t", "node").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), f"{name}-nodes")
+    coarse = F.ceil(F.col("members") / (block * sub)).cast("int")
+    fine = F.when(coarse > 1, coarse * sub).otherwise(F.ceil(F.col("members") / block))
+    rows = int(sizes.agg(F.sum(F.col("members") * coarse).alias("n")).first()["n"] or 0)
+    dealt = placed.join(sizes, ["t", "node"]).withColumn("mine", F.pmod(F.xxhash64("digest"), fine).cast("int")).withColumn("part", F.floor(F.col("mine") / sub).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), coarse - 1))).select("t", "node", "digest", "mine", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+    return dealt.withColumn("task", F.pmod(F.xxhash64("t", "node", "a", "b"), F.lit(max(1, rows // BUNDLE)))), rows
+
+
 def meetings(placed: DataFrame, signatures: DataFrame, keys: Keys, ratio: float, name: str) -> DataFrame:
     """Who must be compared: rows (t, node, lo, hi, mine, digest, size, sig), every pair in one (t, node, lo, hi) alone.
 
@@ -102,13 +124,7 @@ def meetings(placed: DataFrame, signatures: DataFrame, keys: Keys, ratio: float,
     of their digests, so no task holds a large node; only signatures travel here, and only members with a pair that met
     nowhere before are given on.
     """
-    sizes = stage_table(placed.groupBy("t", "node").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), f"{name}-nodes")
-    coarse, wide = F.ceil(F.col("members") / (BLOCK * SUB)), F.col("members") > BLOCK * SUB
-    rows = sizes.agg(F.sum(F.col("members") * coarse).alias("n")).first()["n"] or 0
-    fine = F.when(wide, coarse * SUB).otherwise(F.ceil(F.col("members") / BLOCK))
-    dealt = placed.join(sizes, ["t", "node"]).withColumn("mine", F.pmod(F.xxhash64("digest"), fine).cast("int")).withColumn("part", F.floor(F.col("mine") / SUB).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), (coarse - 1).cast("int"))))
-    dealt = dealt.select("t", "node", "digest", "mine", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), F.pmod(F.xxhash64("t", "node", F.least("part", "other"), F.greatest("part", "other")), F.lit(max(1, rows // BUNDLE))).alias("task"))
+    dealt = deal(placed, BLOCK, SUB, name)[0]
 
     def meet(table: pa.Table) -> pa.Table:
         sig, size, mine = table.column("sig").to_pylist(), table.column("size").to_numpy(), table.column("mine").to_numpy()
@@ -135,27 +151,34 @@ def meetings(placed: DataFrame, signatures: DataFrame, keys: Keys, ratio: float,
     return stage_table(dealt.join(signatures, "digest").groupBy("task").applyInArrow(meet, schema), f"{name}-meetings")
 
 
-def compare(met: DataFrame, payloads: DataFrame, keys: Keys, ratio: float, near: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], name: str) -> DataFrame:
+def compare(met: DataFrame, keys: Keys, near: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], name: str) -> DataFrame:
     """Rows (u, links, v) for every member with links in a unit, and (null, n, null, bin) for the links by likeness.
 
-    ``payloads`` has (digest, copies, bytes); ``near`` gives, for the payloads of a unit, the matrix of linked pairs and
-    that of likenesses, of which ``bin`` is the thousandths.  Counts and a spanning forest leave a unit, never its pairs.
+    ``met`` has (task, t, node, lo, hi, mine, digest, sig, copies, bytes); ``near`` gives, for the bytes of a unit, the
+    matrix of linked pairs and that of likenesses, of which ``bin`` is the thousandths.  Only pairs that met nowhere
+    before count.  Counts and a spanning forest leave a unit, never its pairs.
     """
-    weight = met.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).first()
-    bundles = max(1, int(weight["n"]) // BUNDLE, int(weight["b"] or 0) * 8 // BUNDLE_BYTES)
-    dealt = met.join(payloads, "digest").withColumn("task", F.pmod(F.xxhash64("t", "node", "lo", "hi"), F.lit(bundles)))
 
     def verify(table: pa.Table) -> pa.Table:
-        sig, size, mine = table.column("sig").to_pylist(), table.column("size").to_numpy(), table.column("mine").to_numpy()
+        sig, mine = table.column("sig").to_pylist(), table.column("mine").to_numpy()
         digest, copies, raw = (table.column(c).to_pylist() for c in ("digest", "copies", "bytes"))
         out: list[list] = [[], [], [], []]
         likes = np.zeros(1001, "i8")
         for (t, _, lo, hi), at in _units(table, ("t", "node", "lo", "hi")).items():
-            now, before = keys([sig[i] for i in at])
-            left, right = new_pairs(now, before, t, size[at], ratio)
             linked, like = near([raw[i] for i in at])
-            ok = linked[left, right] & ((lo == hi) | (mine[at][left] != mine[at][right]))
-            left, right = left[ok], right[ok]
+            if lo != hi:
+                linked &= mine[at][:, None] != mine[at]
+            left, right = np.nonzero(np.triu(linked, 1))
+            if not len(left):
+                continue
+            now, before = keys([sig[i] for i in at])
+            seen = np.zeros(len(left), bool)
+            for s in range(0, len(left), 65536):
+                i, j = left[s : s + 65536], right[s : s + 65536]
+                seen[s : s + 65536] = (now[i, :t] == now[j, :t]).any(axis=1)
+                if before is not None:
+                    seen[s : s + 65536] |= (before[i] == before[j]).any(axis=1)
+            left, right = left[~seen], right[~seen]
             likes += np.bincount(np.clip(like[left, right] * 1000 + 1e-6, 0, 1000).astype(int), minlength=1001)
             links = Links(len(at))
             for i, j in zip(left.tolist(), right.tolist(), strict=True):
@@ -169,7 +192,7 @@ def compare(met: DataFrame, payloads: DataFrame, keys: Keys, ratio: float, near:
                 column.append(value)
         return pa.table({"u": pa.array(out[0], pa.binary()), "links": pa.array(out[1], pa.int64()), "v": pa.array(out[2], pa.binary()), "bin": pa.array(out[3], pa.int32())})
 
-    return stage_table(dealt.groupBy("task").applyInArrow(verify, "u binary, links long, v binary, bin int"), f"{name}-links")
+    return stage_table(met.groupBy("task").applyInArrow(verify, "u binary, links long, v binary, bin int"), f"{name}-links")
 
 
 def by_row(rows: DataFrame, classes: DataFrame, found: DataFrame, name: str) -> DataFrame:

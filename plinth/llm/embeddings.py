@@ -1,9 +1,8 @@
 """Near-duplicate vectors: random-hyperplane signs in several tables, exact cosines, distributed components.
 
 Equal vectors are one class first.  Each class has one bucket in each table, named by the signs of its products with
-that table's hyperplanes.  Bucket numbers alone say which members have a pair that meets in no table before; only their
-vectors travel, and are compared, in blocks, by cosine in double precision.  Blocks give counts and a spanning forest,
-never lists of pairs.
+that table's hyperplanes.  Members of a bucket are compared, in blocks, by cosine in double precision; a pair
+that meets in several tables counts in the first one.  Blocks give counts and a spanning forest, never lists of pairs.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, small_batches, stage_table
-from .components import by_row, compare, meetings
+from .components import BLOCK, by_row, compare, deal
 
 COSINE, RECALL, SEED = 0.95, 0.9995, 20240229
 _planes: dict = {}
@@ -72,6 +71,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     rows = stage_table(_classes(vectors, id_col, vec_col), "vectors")
     classes = stage_table(rows.filter("digest is not null").groupBy("digest", "vec").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first")), "vector-classes")
     bits, tables = shape(classes.count(), cosine, recall)
+    kind = "<i4" if bits < 32 else "<i8"
 
     def hash_them(batches):
         for batch in batches:
@@ -81,13 +81,13 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
                 at = [i for i, r in enumerate(raws) if len(r) == size]
                 for i, b in zip(at, buckets_of(np.frombuffer(b"".join(raws[i] for i in at), "<f8").reshape(len(at), -1), bits, tables), strict=True):
                     out[i] = b
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([o.astype("<i8").tobytes() for o in out], pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["digest", "vec", "copies", "sig", "buckets"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([o.astype(kind).tobytes() for o in out], pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["digest", "vec", "copies", "sig", "buckets"])
 
     hashed = stage_table(classes.select("digest", "vec", "copies").mapInArrow(hash_them, "digest binary, vec binary, copies long, sig binary, buckets array<long>"), "buckets")
     placed = hashed.select(F.posexplode("buckets").alias("t", "bucket"), F.concat_ws(":", F.length("vec"), "bucket").alias("node"), "digest").select("t", "node", "digest")
 
     def keys(raw: list[bytes]):
-        return np.frombuffer(b"".join(raw), "<i8").reshape(len(raw), tables), None
+        return np.frombuffer(b"".join(raw), kind).reshape(len(raw), tables), None
 
     def near(raw: list[bytes]):
         x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
@@ -96,8 +96,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
         like = x @ x.T
         return like >= cosine, like
 
-    met = meetings(placed, hashed.select("digest", (F.length("vec") / 8).cast("long").alias("size"), "sig"), keys, 0.0, "vectors")
-    found = compare(met, hashed.select("digest", "copies", F.col("vec").alias("bytes")), keys, 0.0, near, "vectors")
+    dealt, _ = deal(placed, BLOCK, 1, "vectors")
+    met = dealt.withColumnsRenamed({"a": "lo", "b": "hi"}).join(hashed.select("digest", "sig", "copies", F.col("vec").alias("bytes")), "digest")
+    found = compare(met, keys, near, "vectors")
     return by_row(rows, classes, found, "vec_id").drop("digest")
 
 

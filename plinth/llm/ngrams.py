@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, small_batches, stage_table, text_of
-from .components import by_row, compare, meetings
+from .components import by_row, compare, meetings, with_payloads
 
 WORDS, SIMILARITY, RECALL, TREES, DEEPEST, SEED = 5, 0.8, 0.999, 24, 10, 20240301
 #: Columns of one product when the n-grams of a block are compared.
@@ -235,7 +235,7 @@ def similar_texts(docs: DataFrame, similarity: float = SIMILARITY, recall: float
         placed = matched.filter(F.col("deep") >= depth).select("t", F.substring("label", 1, 2 * depth).alias("node"), "digest")
         keys = _prefixes(trees, depth, done)
         met = meetings(placed, wanted.select("digest", "size", "sig"), keys, similarity, "texts")
-        told = compare(met, payloads, keys, similarity, near, "texts")
+        told = compare(with_payloads(met, payloads), keys, near, "texts")
         for r in told.filter("u is null").groupBy("bin").agg(F.sum("links").alias("n")).collect():  # a thousand rows at most
             links[r["bin"]] = links.get(r["bin"], 0) + r["n"]
         found = told if found is None else found.unionByName(told)
