@@ -1,15 +1,21 @@
 """Byte-level BPE in DuckDB, inside each partition: rows of (word, position, token) join the table of merges.
 
 Words are what the splitting pattern finds.  A recursive query contracts, in every word at once, the leftmost pair of
-least rank until no pair merges; words over LONG bytes contract all pairs of that rank up to the first one that makes a
-pair of lower rank, which gives the same tokens in far fewer rounds.  Ordered aggregations give the ids of a word and
-its decoded bytes.  Only words that the worker has not seen lately reach DuckDB.
+least rank until no pair merges.  A word over LONG bytes is contracted in overlapping parts of that size.  Two parts are
+joined at a border that both have and that stands when the two tokens beside it are contracted as one word: tokens whose
+neighbours all stand so are those of the whole word, as a merge over a border would happen in the pair of tokens too.
+Parts without such a border become one part, for which a query contracts all pairs of the least rank up to the first one
+that makes a pair of lower rank; so work grows with the length of a word.  Ordered aggregations give the ids of a word
+and, from the ids, its decoded bytes; the parts of a document follow one another in its own order.  Only words that the
+worker has not seen lately reach DuckDB, whose scratch files (within one query) lie in the worker's temporary folder.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +25,14 @@ from pyspark.sql import functions as F
 from .common import TwoGenerations, read, small_batches, text_of
 
 RANKS = "byte_bpe_50k.tiktoken"
-LONG = 48
+LONG, STEP = 48, 24
 CACHED = 550_000
 #: Texts are handled in groups of about so many characters, and words of so many bytes at once in DuckDB.
-GROUP, AT_ONCE = 4_000_000, 700_000
+GROUP, AT_ONCE = 4_000_000, 400_000
 
-_P = 1 << 24  # positions of a word
-_POS, _W = f"& {_P - 1}", ">> 24"
+_SHIFT = 36
+_P = 1 << _SHIFT  # positions of a word
+_POS, _W = f"& {_P - 1}", f">> {_SHIFT}"
 
 _SHORT = f"""
 WITH RECURSIVE s(it, wp, tok) AS (
@@ -33,8 +40,8 @@ WITH RECURSIVE s(it, wp, tok) AS (
   UNION ALL
   SELECT s.it + 1, s.wp - CASE WHEN s.wp > b.at THEN 1 ELSE 0 END, CASE WHEN s.wp = b.at THEN b.new ELSE s.tok END
   FROM s JOIN (
-    SELECT w, (w << 24) + (k {_POS}) AS at, k {_W} AS new FROM (
-      SELECT l.wp {_W} AS w, min((m.rank << 24) + (l.wp {_POS})) AS k
+    SELECT w, (w << {_SHIFT}) + (k {_POS}) AS at, k {_W} AS new FROM (
+      SELECT l.wp {_W} AS w, min((m.rank << {_SHIFT}) + (l.wp {_POS})) AS k
       FROM s l JOIN s r ON r.wp = l.wp + 1 JOIN merges m ON m.pair = (l.tok << 16) + r.tok GROUP BY 1)
   ) b ON (s.wp {_W}) = b.w
   WHERE s.wp <> b.at + 1
@@ -73,10 +80,13 @@ WITH RECURSIVE s(it, wp, tok) AS (
 
 _LAST = f"""
 , ends AS (SELECT wp {_W} AS w, max(it) AS last FROM s GROUP BY 1)
-SELECT e.w, count(*), string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY wp), string_agg(v.hex, '' ORDER BY wp)
-FROM s JOIN ends e ON (s.wp {_W}) = e.w AND s.it = e.last JOIN vocabulary v ON v.id = s.tok
+SELECT e.w, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY wp)
+FROM s JOIN ends e ON (s.wp {_W}) = e.w AND s.it = e.last
 GROUP BY e.w ORDER BY e.w"""
 
+_DECODE = """
+SELECT string_agg(v.hex, '' ORDER BY pos) FROM ids JOIN vocabulary v ON v.id = ids.tok GROUP BY w ORDER BY w"""
+
 
 class Encoder:
     """Encodes texts to (number of ids, ids as decimal text, decoded bytes)."""
@@ -90,7 +100,8 @@ class Encoder:
         self.ranks = ranks
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], "i8")
         pairs = {ranks[t[:i]] * 65536 + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.sizes = dict(zip(ranks.values(), map(len, ranks), strict=True))
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": f"{tempfile.gettempdir()}/plinth-bpe-{os.getpid()}"})
         merges = pa.table({"pair": pa.array(list(pairs), pa.int64()), "rank": pa.array(list(pairs.values()), pa.int64())})
         vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "hex": [t.hex() for t in ranks]})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
@@ -102,33 +113,103 @@ class Encoder:
         self.part = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
         self.cache = TwoGenerations(cap)
 
-    def _contract(self, words: list[bytes], sql: str) -> list[tuple[int, str, bytes]]:
-        size = np.array([len(w) for w in words], "i8")
-        owner = np.repeat(np.arange(len(words)), size)
-        pos = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-        seed = pa.table({"w": owner, "pos": pos, "tok": self.byte[np.frombuffer(b"".join(words), "u1")]})
-        self.con.register("seed", seed)
-        found = self.con.execute(sql + _LAST).fetchall()
-        self.con.unregister("seed")
-        return [(n, ids, bytes.fromhex(raw)) for _, n, ids, raw in found]
+    def _contract(self, words: list[bytes], sql: str) -> list[list[int]]:
+        """The ids of each word (none is empty), a bounded number of bytes at once."""
+        out, at = [], 0
+        while at < len(words):
+            end, n = at, 0
+            while end < len(words) and (n == 0 or n + len(words[end]) <= AT_ONCE):
+                n += len(words[end])
+                end += 1
+            size = np.array([len(w) for w in words[at:end]], "i8")
+            owner = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+            self.con.register("seed", pa.table({"w": owner, "pos": pos, "tok": self.byte[np.frombuffer(b"".join(words[at:end]), "u1")]}))
+            out += [[int(x) for x in ids.split()] for _, ids in self.con.execute(sql + _LAST).fetchall()]
+            self.con.unregister("seed")
+            at = end
+        return out
+
+    def _borders(self, start: int, ids: list[int]) -> dict[int, tuple[int, int]]:
+        """Each border inside a part, with the tokens before and after it."""
+        out, at = {}, start
+        for a, b in zip(ids, ids[1:], strict=False):
+            at += self.sizes[a]
+            out[at] = (a, b)
+        return out
+
+    def _long(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of words over LONG bytes, by parts."""
+        parts = [[(s, min(s + LONG, len(w))) for s in range(0, max(1, len(w) - LONG + STEP), STEP)] for w in words]
+        ids: list[dict] = [{} for _ in words]
+        stands: dict[tuple[int, int], bool] = {}
+        spell = {r: t for t, r in self.ranks.items()}
+        while True:
+            todo = [(k, p) for k, ps in enumerate(parts) for p in ps if p not in ids[k]]
+            raw = [words[k][s:e] for k, (s, e) in todo]
+            distinct = sorted(set(raw), key=lambda x: (len(x), x))
+            short = [x for x in distinct if len(x) <= LONG]
+            found = dict(zip(distinct, self._contract(short, _SHORT) + self._contract(distinct[len(short) :], _RUNS), strict=True))
+            for (k, p), x in zip(todo, raw, strict=True):
+                ids[k][p] = found[x]
+            # borders that two neighbouring parts share, and whether the tokens beside them stay apart
+            shared, pairs = [], set()
+            for k, ps in enumerate(parts):
+                borders = [self._borders(s, ids[k][s, e]) for s, e in ps]
+                shared.append([])
+                for (a, b), (x, y), (s, e) in zip(zip(borders, borders[1:], strict=False), zip(ps, ps[1:], strict=False), ps[1:], strict=False):
+                    both = sorted((q for q in b if q in a), key=lambda q: abs(2 * q - x[1] - s))[:4]
+                    shared[-1].append([(q, (a[q][0], b[q][1])) for q in both])
+                    pairs.update(p for _, p in shared[-1][-1])
+            new = sorted(pairs - stands.keys())
+            for p, got in zip(new, self._contract([spell[a] + spell[b] for a, b in new], _SHORT), strict=True):
+                stands[p] = tuple(got) == p
+            done = True
+            for k, ps in enumerate(parts):
+                seams = [next((q for q, p in options if stands[p]), None) for options in shared[k]]
+                if any(q is None for q in seams):
+                    done, merged = False, [ps[0]]
+                    for p, q in zip(ps[1:], seams, strict=True):
+                        if q is None:
+                            merged[-1] = (merged[-1][0], p[1])
+                        else:
+                            merged.append(p)
+                    parts[k] = merged
+                shared[k] = seams
+            if done:
+                break
+        out = []
+        for k, ps in enumerate(parts):
+            whole: list[int] = []
+            for (s, e), lo, hi in zip(ps, [0, *shared[k]], [*shared[k], len(words[k])], strict=True):
+                at = s
+                for x in ids[k][s, e]:
+                    if lo <= at < hi:
+                        whole.append(x)
+                    at += self.sizes[x]
+            out.append(whole)
+        return out
 
     def words(self, words: list[bytes]) -> dict[bytes, tuple[int, str, bytes]]:
-        out, short, long = {}, [], []
-        for w in words:
-            rank = self.ranks.get(w)
-            if rank is not None:  # a word that is a token as it stands needs no merge
-                out[w] = (1, str(rank), w)
-            else:
-                (long if len(w) > LONG else short).append(w)
-        for group, sql in ((short, _SHORT), (long, _RUNS)):
-            at = 0
-            while at < len(group):
-                end, n = at, 0
-                while end < len(group) and (n == 0 or n + len(group[end]) <= AT_ONCE):
-                    n += len(group[end])
-                    end += 1
-                out.update(zip(group[at:end], self._contract(group[at:end], sql), strict=True))
-                at = end
+        """(number of ids, ids as decimal text, decoded bytes) of each distinct word."""
+        known = {w: [self.ranks[w]] for w in words if w in self.ranks}  # a token as it stands needs no merge
+        short = [w for w in words if w not in known and len(w) <= LONG]
+        long = [w for w in words if w not in known and len(w) > LONG]
+        known.update(zip(short, self._contract(short, _SHORT), strict=True))
+        known.update(zip(long, self._long(long), strict=True))
+        out, order, at = {}, list(known), 0
+        while at < len(order):
+            end, n = at, 0
+            while end < len(order) and (n == 0 or n + len(known[order[end]]) <= AT_ONCE):
+                n += len(known[order[end]])
+                end += 1
+            size = np.array([len(known[w]) for w in order[at:end]], "i8")
+            tok = np.concatenate([np.array(known[w], "i8") for w in order[at:end]])
+            self.con.register("ids", pa.table({"w": np.repeat(np.arange(len(size)), size), "pos": np.arange(len(tok)), "tok": tok}))
+            for w, (raw,) in zip(order[at:end], self.con.execute(_DECODE).fetchall(), strict=True):
+                out[w] = (len(known[w]), " ".join(map(str, known[w])), bytes.fromhex(raw))
+            self.con.unregister("ids")
+            at = end
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
@@ -162,7 +243,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     """Rows doc_id, n_tokens, ids_sha256, decoded_sha256 and, on demand, ids (decimal, blank between) and decoded bytes.
 
     Null and empty texts have no ids.  Repeated rows are encoded each, a null id stays null, other columns are ignored.
-    Texts of any length are encoded whole; characters the pattern does not match (none with the public one) are lost.
+    Texts and words of any length are encoded whole; characters the pattern does not match (none with the public one) are lost.
     """
     if path is None or pattern is None:
         import public_tokenizers

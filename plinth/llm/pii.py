@@ -2,7 +2,8 @@
 a classifier trained on the outcome decides about spans that the base patterns leave open.
 
 Candidates are the matches of the base patterns and of looser ones (telephone numbers without a plus sign, numbers in
-the form of social security numbers, obfuscated e-mail addresses).  A format labeller, a gazetteer labeller and a
+the form of social security numbers, obfuscated e-mail addresses, capitalised words with a given name of the gazetteer,
+house numbers beside a word for a street).  Every pattern takes time in proportion to the text, however long its runs.  A format labeller, a gazetteer labeller and a
 context labeller vote on each.  Counts of the vote patterns by kind, over the whole corpus, are all that training needs.
 """
 
@@ -10,6 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +27,35 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "local_phone", "ssn", "hidden_email")
+KINDS = (*BASE, "local_phone", "ssn", "hidden_email", "name", "address")
+
+# The same matches in time that grows with the text alone: a match of IP can only start where a run of digits does.
+IP_ONCE = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+BEFORE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 
 LOCAL = re.compile(r"(?<![0-9.+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-HIDDEN = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(]at[\])] ?[A-Za-z0-9-]+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]+)+", re.IGNORECASE)
+AT = re.compile(r" ?[\[(]at[\])] ?", re.IGNORECASE)
+REST = re.compile(r"[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++)++", re.IGNORECASE)
+#: Two or three capitalised words, and a house number with a capitalised word or two before or after it.
+NAME = re.compile(r"(?<![^\W_])[^\W\d_a-z][^\W\d_]{1,15}(?: [^\W\d_a-z][^\W\d_]{1,15}){1,2}(?![^\W_])")
+STREET = re.compile(r"(?<![^\W_])[0-9]{1,5},? (?:[^\W\d_a-z][^\W\d_]{1,15} ){1,2}[^\W\d_]{2,9}\b|(?<![^\W_])[^\W\d_a-z][^\W\d_]{3,20} [0-9]{1,4}(?![0-9])")
+GIVEN = frozenset(
+    "james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen maria anna peter paul "
+    "hans klaus jürgen wolfgang ursula monika petra sabine andreas stefan jean pierre michel françois marie nathalie isabelle catherine philippe nicolas "
+    "josé juan antonio francisco manuel carmen ana isabel pilar dolores carlos luis javier miguel laura".split()
+)
+STREETS = frozenset("street st road rd avenue ave lane ln drive dr boulevard blvd court ct way place square rue".split())
+STREET_ENDS = ("straße", "strasse", "weg", "platz", "allee", "gasse")
 WORDS = {
     "email": "email e-mail mail contact write courriel correo kontakt".split(),
     "phone": "phone tel telephone call mobile cell fax telefon téléphone teléfono".split(),
     "ip": "ip address host server login from addr".split(),
     "card": "card visa credit payment account carte tarjeta karte".split(),
     "ssn": "ssn social security".split(),
+    "name": "mr mrs ms dr herr frau monsieur madame señor señora name named signed regards contact from author".split(),
+    "address": "address lives live located visit office at in wohnt adresse dirección adresse habite".split(),
 }
 ENDINGS = frozenset("com org net edu gov io info biz de fr es uk eu us ch at it nl".split())
 AROUND = 32
@@ -51,15 +72,42 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int, int]]:
+    """The matches of EMAIL, from each "@" outward: what stands before it up to the last match, or to a character that
+    cannot, and the longest domain after it."""
+    out, done, at = [], 0, text.find("@")
+    while at >= 0:
+        # no start lies before an earlier "@", so no stretch is looked at twice
+        start = done + len(text[done:at].rstrip(BEFORE))
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            out.append((start, 0, m.end()))
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
+    return out
+
+
+def hidden(text: str) -> list[tuple[int, int, int]]:
+    """E-mail addresses with "[at]" and "[dot]", found from the former outward."""
+    out, done = [], 0
+    for m in AT.finditer(text):
+        if m.start() < done:
+            continue
+        start = done + len(text[done : m.start()].rstrip(BEFORE))
+        rest = REST.match(text, m.end()) if start < m.start() else None
+        if rest:
+            out.append((start, 6, rest.end()))
+        done = rest.end() if rest else m.end()
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, place of the kind, end) of the base spans, sorted.  A pattern runs only where a text has a character that
     each of its matches needs."""
-    out = []
-    if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    out = emails(text) if "@" in text else []
     if DIGIT.search(text):
         if "." in text:
-            out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+            out += [(m.start(), 1, m.end()) for m in IP_ONCE.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 12:
                 d = m[0].replace(" ", "").replace("-", "")
@@ -79,19 +127,32 @@ def loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
         if "-" in text:
             found += [(m.start(), 5, m.end()) for m in SSN.finditer(text)]
     if "at]" in text or "at)" in text or "AT]" in text or "AT)" in text:
-        found += [(m.start(), 6, m.end()) for m in HIDDEN.finditer(text)]
+        found += hidden(text)
+    found += [(m.start(), 7, m.end()) for m in NAME.finditer(text) if any(w in GIVEN for w in m[0].lower().split()[:2])]
+    if DIGIT.search(text):
+        found += [(m.start(), 8, m.end()) for m in STREET.finditer(text) if _street(m[0])]
     if not found:
         return found
-    out, i, end = [], 0, 0
+    starts, ends = [t[0] for t in taken], list(accumulate((t[2] for t in taken), max))
+
+    def meets(s) -> bool:
+        """Whether a base span that starts before the end of ``s`` reaches beyond its start."""
+        k = bisect_left(starts, s[2])
+        return k > 0 and ends[k - 1] > s[0]
+
+    out, end = [], 0
     for s in sorted(found):
-        while i < len(taken) and taken[i][2] <= s[0]:
-            i += 1
-        if s[0] >= end and all(t[0] >= s[2] or t[2] <= s[0] for t in taken[i : i + 8]):
+        if s[0] >= end and not meets(s):
             out.append(s)
             end = s[2]
     return out
 
 
+def _street(body: str) -> bool:
+    words = body.lower().replace(",", " ").split()
+    return words[-1] in STREETS or (words[1] == "rue") or words[0].endswith(STREET_ENDS)
+
+
 def votes(text: str, span: tuple[int, int, int]) -> tuple[int, int, int]:
     """Format, gazetteer and context, each 1 (personal), 0 (nothing) or -1 (not)."""
     start, kind, end = span
@@ -105,8 +166,10 @@ def votes(text: str, span: tuple[int, int, int]) -> tuple[int, int, int]:
     elif name == "ssn":
         form = -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1
     else:
-        form = 1
-    if topic == "email":
+        form = 0 if name in ("name", "address") else 1
+    if name in ("name", "address"):
+        gazetteer = 1
+    elif topic == "email":
         gazetteer = 1 if re.split("[^a-z]+", body.lower())[-1] in ENDINGS else 0
     elif topic == "ip":
         gazetteer = -1 if body.split(".")[0] in ("0", "127", "255") else 0
