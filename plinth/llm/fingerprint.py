@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from .common import read, stage_table, text_of
 
-SPLITS = 1000
-
 
 def canonical(text: Column) -> Column:
     """NFKC, case folding and white-space folding; null stays null."""
@@ -68,15 +66,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def following(ids: DataFrame) -> DataFrame:
     """(id, next_id) of distinct ids in descending order, the last one followed by the first.
 
-    No window runs over more than one of SPLITS + 1 ranges of ids; a table of one row for each range mends the seams.
+    Ids lie in as many ranges as the session has shuffle partitions, and no window runs over more than one of them; a
+    table of one row for each range mends the seams.
     """
-    marks = ids.select(F.percentile_approx("id", [i / SPLITS for i in range(1, SPLITS)], 10 * SPLITS).alias("m")).first()["m"]
-    if not marks:
-        return ids.select("id", F.col("id").alias("next_id"))
-    bounds = F.array(*[F.lit(int(x)).cast("long") for x in sorted(set(marks))])
-    ranged = ids.select("id", F.size(F.filter(bounds, lambda x: x <= F.col("id"))).alias("r"))
+    ranged = stage_table(ids.select("id").repartitionByRange("id").select("id", F.spark_partition_id().alias("r")), "id-ranges")
     inside = ranged.withColumn("nx", F.lead("id").over(Window.partitionBy("r").orderBy(F.desc("id"))))
-    tops = ranged.groupBy("r").agg(F.max("id").alias("top"))  # at most SPLITS + 1 rows
+    tops = ranged.groupBy("r").agg(F.max("id").alias("top"))  # one row a range
     seams = tops.select("r", F.lag("top").over(Window.orderBy("r")).alias("below"), F.max("top").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("first"))
     return inside.join(F.broadcast(seams), "r").select("id", F.coalesce("nx", "below", "first").alias("next_id"))
 
@@ -86,7 +81,8 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     The edited text has its last floor(n/3) code points replaced by the first as many of the next document.  Rows that
     share an id share a next document: the row with the smallest start among those with the next smaller id.  Rows with
-    a null id have no next document and keep their text.
+    a null id have no next document and keep their text.  Two texts are alike (1.0) if their canonical forms are equal
+    byte by byte, which is asked only where their hashes are.
     """
     keyed = _keyed(docs, id_col, text_col)
     digested = _digests(keyed)
@@ -96,24 +92,28 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     named = keyed.filter("id is not null")
     starts = (
         named.join(before, "id")
-        .select("prev", F.expr("substring(t, 1, cast(need as int))").alias("start"), "h")
+        .select("prev", F.expr("substring(t, 1, cast(need as int))").alias("start"), "h", "id")
         .groupBy(F.col("prev").alias("id"))
-        .agg(F.min(F.struct("start", "h")).alias("next"))
+        .agg(F.min(F.struct("start", "h", "id")).alias("next"))
     )
     n = F.char_length("t")
     cut = F.floor(n / 3).cast("int")
-    joined = named.join(starts, "id").select("id", "t", "h", F.col("next.h").alias("nh"), F.concat(F.substring("t", F.lit(1), n - cut), F.substring("next.start", F.lit(1), cut)).alias("e"))
-    nameless = keyed.filter("id is null").select("id", "t", "h", F.lit(None).cast(dict(keyed.dtypes)["h"]).alias("nh"), F.col("t").alias("e"))
+    joined = named.join(starts, "id").select("id", "t", "h", F.col("next.h").alias("nh"), F.col("next.id").alias("nid"), F.concat(F.substring("t", F.lit(1), n - cut), F.substring("next.start", F.lit(1), cut)).alias("e"))
+    nameless = keyed.filter("id is null").select("id", "t", "h", F.lit(None).cast(dict(keyed.dtypes)["h"]).alias("nh"), F.lit(None).cast("long").alias("nid"), F.col("t").alias("e"))
 
     def told(rows: DataFrame) -> DataFrame:
-        hashed = rows.select("id", "t", "e", "h", "nh", canonical(F.col("e")).alias("form")).select("id", "t", "e", "form", "h", "nh", wide_hash(F.col("form")).alias("eh"))
+        hashed = rows.select("id", "t", "e", "h", "nh", "nid", canonical(F.col("e")).alias("form")).select("id", "t", "e", "form", "h", "nh", "nid", wide_hash(F.col("form")).alias("eh"))
         same = F.when(F.col("h") == F.col("eh"), (canonical(F.col("t")) == F.col("form")).cast("double")).otherwise(F.lit(0.0))
-        return hashed.select("id", "h", "nh", "eh", F.char_length("t").cast("long").alias("n_chars"), F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), same.alias("near_edited"))
+        return hashed.select("id", "h", "nh", "nid", "eh", F.char_length("t").cast("long").alias("n_chars"), F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), same.alias("near_edited"))
 
+    odd = stage_table(_odd(named, digested), "odd-texts")  # texts that share a bucket with another one: none, but by chance
+    theirs = odd.select(F.col("id").alias("nid"), F.col("h").alias("nh"), F.col("odd").alias("nodd"))
+    none = F.lit(None).cast("string")
     return (
         told(joined)
-        .join(_odd(named, digested), ["id", "h"], "left")
-        .unionByName(told(nameless).withColumn("odd", F.lit(None).cast("string")))
+        .join(odd, ["id", "h"], "left")
+        .join(theirs, ["nid", "nh"], "left")
+        .unionByName(told(nameless).withColumn("odd", none).withColumn("nodd", none))
         .select(
             F.col("id").alias("doc_id"),
             "n_chars",
@@ -121,7 +121,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             F.concat_ws(":", _hex(F.col("h.h1"), F.col("h.h2")), "odd").alias("fingerprint"),
             _hex(F.col("eh.h1"), F.col("eh.h2")).alias("edited_fingerprint"),
             "near_edited",
-            F.when(F.col("h") == F.col("nh"), 1.0).otherwise(0.0).alias("near_next"),
+            F.when((F.col("h") == F.col("nh")) & F.col("odd").eqNullSafe(F.col("nodd")), 1.0).otherwise(0.0).alias("near_next"),
         )
     )
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import read, small_batches, text_of
 
-#: Rows that the scorer is fitted on, at most (those with the smallest hashes of their texts).
+#: Rows that the scorer is fitted on, about at most (those whose texts have the smallest hashes).
 BOUND = 4000
 HASHED, THRESHOLD = 1024, 0.5
 STOP = re.compile(r"[.!?]+(?=\s|$)")
@@ -76,17 +76,19 @@ def votes(m: dict[str, float]) -> tuple[int, ...]:
     return tuple(out)
 
 
-#: A labeller says poor of this share of good texts at most.  Kinds of poor texts hardly overlap, so without the bound
-#: the likeliest two classes are one such kind against all the rest.
-FALSE_ALARMS = 0.004
+#: Before the data are seen, a labeller is held to say poor of this share of good texts, with the weight of so many texts
+#: for each text of the corpus.  Kinds of poor texts hardly overlap, so with no such weight the likeliest two classes are
+#: one such kind against all the rest.
+FALSE_ALARMS, WEIGHT = 0.002, 4.0
 
 
-def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[float, np.ndarray]:
+def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 500) -> tuple[float, np.ndarray]:
     """EM over vote patterns: (share of good texts, chances [class, labeller, vote + 1]).
 
     A vote for poor names a defect, anything else says only that this defect is not seen: what EM estimates for each
-    labeller is its false alarms (bounded) and the share of poor texts it finds; good votes and silence share the rest
-    in the proportion they have in the corpus.  Without patterns the start is returned."""
+    labeller is its false alarms (with a beta prior of mean FALSE_ALARMS) and the share of poor texts it finds; good
+    votes and silence share the rest in the proportion they have in the corpus.  Without patterns the start is
+    returned."""
     k = len(LABELLERS)
     share, alarm, finds = 0.9, np.full(k, FALSE_ALARMS), np.full(k, 0.25)
     keys = sorted(patterns)
@@ -100,11 +102,11 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[f
         if not patterns:
             break
         post = posterior(v, share, chance)
-        new = float((n * post).sum() / n.sum())
-        cries = v == 0
-        alarm = np.minimum(FALSE_ALARMS, (((n * post)[:, None] * cries).sum(axis=0) + 0.1) / ((n * post).sum() + 1))
-        finds = np.clip((((n * (1 - post))[:, None] * cries).sum(axis=0) + 0.5) / ((n * (1 - post)).sum() + 2), 0.05, 0.95)
-        moved, share = abs(new - share), min(0.98, max(0.5, new))
+        cries, prior = v == 0, WEIGHT * n.sum() + 100
+        alarm = (((n * post)[:, None] * cries).sum(axis=0) + prior * FALSE_ALARMS) / ((n * post).sum() + prior)
+        finds = (((n * (1 - post))[:, None] * cries).sum(axis=0) + 0.5) / ((n * (1 - post)).sum() + 2)
+        new = float((n * post).sum() + 9) / (n.sum() + 10)
+        moved, share = abs(new - share), new
         if moved < 1e-9:
             break
     return share, chance
@@ -130,7 +132,10 @@ def features(text: str, m: dict[str, float]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, bound: int = BOUND, text_col: str = "text") -> tuple[float, np.ndarray, np.ndarray]:
-    """(share, chances, weights): EM over the votes of all rows, then the scorer over a bounded sample."""
+    """(share, chances, weights): EM over the votes of all rows, then the scorer over a bounded sample.
+
+    A null text counts as an empty one; repeated rows vote each, but are one text to the scorer.  Other columns are
+    ignored.  An empty table gives the start of EM and weights of zero."""
     small_batches(docs.sparkSession)
 
     def vote(batches):
@@ -154,8 +159,8 @@ def fit(docs: DataFrame, bound: int = BOUND, text_col: str = "text") -> tuple[fl
                 post.append(float(posterior(np.array([votes(m)]) + 1, share, chance)[0]))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(post, pa.float64())], names=["x", "y"])
 
-    part = F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, bound / n)) + 1
-    # copies of one text share its hash, so they count once: no text fills the sample
+    # copies of one text share its hash, so they count once: no text fills the sample.  About ``bound`` rows, whatever n
+    part = F.shiftrightunsigned(F.xxhash64("t"), 2) < F.lit(min((1 << 62) - 1, ((1 << 62) * bound) // n))
     got = sorted((r["x"], r["y"]) for r in texts.filter(part).distinct().mapInArrow(sample, "x binary, y double").collect())
     if not got:
         return share, chance, np.zeros(size)

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, text_of
+from .common import read, stage_table, text_of
 
 # The base patterns, their order and the least lengths.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -26,6 +26,10 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 #: (name, pattern of the whole token, alphabet in the order of values), the first that fits is inferred.
 ENCODINGS = (
+    ("digits", "^[0-9]+$", "0123456789"),
+    ("lower", "^[a-z]+$", "abcdefghijklmnopqrstuvwxyz"),
+    ("UPPER", "^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("letters", "^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
     ("HEX", "^[0-9A-F]+$", "0123456789ABCDEF"),
     ("base32", "^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
@@ -38,8 +42,11 @@ ENCODINGS = (
 #: A cut is the lower end of one of these bins, the second one at least and LAMBDA at most; it is raised on an excess of
 #: ordinary tokens that chance gives with a probability under SURE.
 BINS, LAMBDA, SURE = 100, 0.5, 0.01
-#: Upper ends of the length bands; one more band holds the rest.
+#: Upper ends of the length bands; one more band holds the rest.  Tokens with digits and letters, those of digits alone and
+#: those of letters alone have bands of their own.
 BANDS = (24, 32, 48, 64, 128)
+ALL_BANDS = 3 * (len(BANDS) + 1)
+NONE = 2.0
 
 
 _NO_SPANS = "array<struct<start:bigint,end:bigint,size:bigint>>"
@@ -98,8 +105,8 @@ def _upper(z: Column) -> Column:
 
 
 def _battery(df: DataFrame) -> DataFrame:
-    """Adds ``_token_rated``: array<struct<start,end,band,p>> of the long tokens in ``_text`` that mix digits with
-    letters; p is the combined value under "drawn at random from the inferred alphabet", small for ordinary text."""
+    """Adds ``_token_rated``: array<struct<start,end,band,p>> of the long tokens in ``_text`` that hold a digit or a
+    letter; p is the combined value under "drawn at random from the inferred alphabet", small for ordinary text."""
 
     def pick(token: Column, make) -> Column:
         chain = F.when(token.rlike(ENCODINGS[0][1]), make(ENCODINGS[0][2]))
@@ -118,7 +125,7 @@ def _battery(df: DataFrame) -> DataFrame:
     return _let(
         df,
         "token",
-        mixed=lambda c: F.filter(F.arrays_zip(c("spans").alias("s"), c("found").alias("x")), lambda z: _mixed(z["x"])),
+        mixed=lambda c: F.filter(F.arrays_zip(c("spans").alias("s"), c("found").alias("x")), lambda z: z["x"].rlike("[0-9A-Za-z]")),
         one=lambda c: F.transform(c("mixed"), step(start=lambda z: z["s"]["start"], end=lambda z: z["s"]["end"], band=lambda z: _band(z["x"]), body=lambda z: F.regexp_replace(z["x"], "=+$", ""), alphabet=lambda z: pick(z["x"], F.lit))),
         two=lambda c: F.transform(c("one"), step(start=None, end=None, band=None, body=None, alphabet=None, k=lambda z: F.char_length(z["alphabet"]).cast("double"), chars=lambda z: F.filter(F.split(z["body"], ""), lambda ch: F.char_length(ch) > 0))),
         three=lambda c: F.transform(
@@ -156,16 +163,12 @@ def _battery(df: DataFrame) -> DataFrame:
     )
 
 
-def _mixed(x: Column) -> Column:
-    return x.rlike("[0-9]") & x.rlike("[A-Za-z]")
-
-
 def _band(token: Column) -> Column:
     size = F.char_length(token)
     band = F.lit(len(BANDS))
     for i in reversed(range(len(BANDS))):
         band = F.when(size <= BANDS[i], i).otherwise(band)
-    return band
+    return band + (len(BANDS) + 1) * F.when(~token.rlike("[A-Za-z]"), 1).when(~token.rlike("[0-9]"), 2).otherwise(0)
 
 
 def _at_most(k: int, n: int, share: float) -> float:
@@ -179,47 +182,69 @@ def _at_most(k: int, n: int, share: float) -> float:
 def least_accepted(counts: list[int], fdr: float) -> float:
     """The cut of a band from its counts by bin.  Random tokens spread evenly above a cut and ordinary ones lie low, so
     with a share of at most ``fdr`` of ordinary ones the upper half of the accepted range holds (1 - fdr) / 2 or more;
-    the first cut that the counts do not contradict stands."""
-    for b in range(1, int(LAMBDA * BINS)):
+    the first cut that the counts do not contradict stands.  Where they contradict all of them, none is accepted."""
+    for b in range(1, int(LAMBDA * BINS) + 1):
         middle = (b + BINS) // 2
         share = (1 - fdr) * (BINS - middle) / (BINS - b)
         if _at_most(sum(counts[middle:]), sum(counts[b:]), share) >= SURE:
             return b / BINS
-    return LAMBDA
+    return NONE
+
+
+def least_shown(counts: list[int], fdr: float) -> float:
+    """The cut of a band whose tokens are taken for ordinary ones until they show otherwise: that of ``least_accepted``
+    if the accepted range then holds significantly more than all of the band's tokens below would spill into it, had
+    they the geometric tail of ordinary ones."""
+    cut = least_accepted(counts, fdr)
+    if cut == NONE:
+        return cut
+    b = round(cut * BINS)
+    above, below = sum(counts[b:]), sum(counts[:b])
+    # evenly spread tokens put as many into each bin: ten of them at least, and the lowest bins no fuller than chance
+    return cut if above >= 10 and below * (BINS - b) <= above * b * (1 + fdr) + 3 * math.sqrt(above * b) else NONE
+
+
+def _cuts(rated: DataFrame, fdr: float) -> list[float]:
+    cells = rated.select(F.explode("_token_rated").alias("x"))
+    cells = cells.select("x.band", F.least(F.floor(F.col("x.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).groupBy("band", "bin").count()
+    counts = [[0] * BINS for _ in range(ALL_BANDS)]
+    for r in cells.collect():
+        counts[r["band"]][max(0, r["bin"])] += r["count"]
+    return [(least_accepted(c, fdr) if sum(c) else LAMBDA) if i <= len(BANDS) else least_shown(c, fdr) for i, c in enumerate(counts)]
 
 
 def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = 0.05) -> list[float]:
-    """For each length band the least combined p-value that is accepted as random, from all tokens of the corpus.
+    """For each band the least combined p-value that is accepted as random, from all tokens of the corpus.
 
-    A band without tokens keeps LAMBDA.  Only len(BANDS) + 1 times BINS counts reach the driver.
+    A band of mixed tokens that is empty keeps LAMBDA; one of digits or letters alone accepts none (NONE) unless its
+    tokens are spread as random ones are.  Only ALL_BANDS times BINS counts reach the driver.
     """
-    rated = _battery(docs.select(text_of(text_col).alias("_text"))).select(F.explode("_token_rated").alias("x"))
-    cells = rated.select("x.band", F.least(F.floor(F.col("x.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).groupBy("band", "bin").count()
-    counts = [[0] * BINS for _ in range(len(BANDS) + 1)]
-    for r in cells.collect():
-        counts[r["band"]][max(0, r["bin"])] += r["count"]
-    return [least_accepted(c, fdr) if sum(c) else LAMBDA for c in counts]
+    return _cuts(_battery(docs.select(text_of(text_col).alias("_text"))).select("_token_rated"), fdr)
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", fdr: float = 0.05, cuts: list[float] | None = None) -> DataFrame:
-    """All columns of ``docs`` and one more, ``secret_spans``: array<struct<start,rank,kind,end>> in order of start.
+def find_secrets(docs: DataFrame, text_col: str = "text", fdr: float = 0.05, cuts: list[float] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """All columns of ``docs`` (or those to ``carry``) and one more, ``secret_spans``: array<struct<start,rank,kind,end>>
+    in order of start.
 
     Base spans are always there; a random token is added unless it meets a base span.  Null and empty texts have none.
-    Repeated rows are scanned each.  A column named ``secret_spans`` is replaced.
+    Repeated rows are scanned each.  A column named ``secret_spans`` is replaced.  Without ``cuts`` the rated tokens are
+    written once, and thresholds and spans both come from there.
     """
-    cuts = thresholds(docs, text_col, fdr) if cuts is None else cuts
-    kept = [c for c in docs.columns if c != "secret_spans"]
+    kept = [c for c in (docs.columns if carry is None else carry) if c != "secret_spans"]
     # a name of ours may be taken: the row travels as one column
-    df = _battery(with_base_spans(docs.select(F.struct(*kept).alias("_row"), text_of(text_col).alias("_text"))))
+    df = _battery(with_base_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), text_of(text_col).alias("_text"))))
     tag = lambda kind, spans: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end")))
     long_enough = lambda kind: F.filter(F.col(f"_{kind}_spans"), lambda x: x["size"] >= LEAST[kind])
+    df = df.select("_row", "_token_rated", F.concat(*[tag(k, long_enough(k)) for k in KINDS[:3]]).alias("_base"))
+    if cuts is None:
+        df = stage_table(df, "rated-tokens")
+        cuts = _cuts(df, fdr)
     accepted = F.array(*[F.lit(float(x)) for x in cuts])
     df = _let(
         df,
         "all",
-        base=lambda c: F.concat(*[tag(k, long_enough(k)) for k in KINDS[:3]]),
-        free=lambda c: F.filter("_token_rated", lambda x: (x["p"] >= F.element_at(accepted, x["band"] + 1)) & ~F.exists(c("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))),
-        spans=lambda c: F.array_sort(F.concat(c("base"), tag("random", c("free")))),
+        free=lambda c: F.filter("_token_rated", lambda x: (x["p"] >= F.element_at(accepted, x["band"] + 1)) & ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))),
+        spans=lambda c: F.array_sort(F.concat("_base", tag("random", c("free")))),
     )
     return df.select("_row.*", F.col("_all_spans").alias("secret_spans"))
 
@@ -242,7 +267,7 @@ def digest_spans(spans: Column, kinds: tuple[str, ...]) -> Column:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_secrets(read(spark, sf_dir, "documents"), carry=["doc_id"])
     spans = F.col("secret_spans")
     count = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(digest_spans(spans, KINDS[:3]).cast("binary"), 256).alias("base_sha256"), digest_spans(spans, KINDS).alias("spans"))
