@@ -1,19 +1,22 @@
 """A log-bilinear language model trained with noise-contrastive estimation, and the scores it gives to whole texts.
 
-Words are counted over the whole training part.  The most frequent ones and the end are symbols of their own; other
-words are known by one of a few shapes.  A symbol's log-probability after two others is the product of its vector with
-a position-weighted sum of theirs, plus a bias.  The counts of all symbol triples of the training part (a table of
-bounded size) are told from noise by frequency; every step sums over all of them and over all noise, nothing is drawn.
-Scores use the normalised model.  Inside a shape a second model of the same kind gives the words after the symbol before
-them: as many words have vectors of their own as the training tokens allow, and the rest of the shape is one more.  A
-word of the rest has its discounted share of the rest's count; words never seen in training share the discounts.  So the
-probabilities of the known words, one unseen word and the end sum to one after any two symbols.
+Words are counted over the whole training part.  The most frequent ones, as many as the training tokens allow, and the
+end have vectors of their own.  Sorted by their reversed spelling they are cut into about as many classes as a class has
+words; every other word belongs to the class in whose range its reversed spelling falls, and is known there as the rest
+of the class.  The log-probability of a class, and of an item (own word or rest) inside its class, after the items
+before it is the product of its vector with a sum, weighted by position, of theirs, plus a bias.  Both levels are told
+from noise by frequency.  Every task trains on its texts from the same start and the weighted mean of the tasks' models
+is the next start, so the whole training part is read and no gradient waits for the driver.  Scores use the normalised
+model: one product over the classes, and one for each class over its items.  A word of a rest has its discounted share of
+the rest's count; words never seen in training share the discounts.  So after any words the probabilities of the known
+words, one unseen word a class and the end sum to one.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -25,14 +28,16 @@ from pyspark.sql import functions as F
 from .common import fold_mod, read, small_batches, stage_table, text_of
 
 FOLDS, HELD = 7, 2
-#: Symbols of single words, shapes of the others, and the length of a vector.
-FREQUENT, SHAPES, SIZE, SEED = 88, 6, 24, 20240302
+#: The length of a vector, the words before that count, and where random numbers start.
+SIZE, REACH, SEED = 16, 4, 20240302
 #: Most frequent words whose counts every worker holds; counts of rarer ones come by a join.
 HEAD = 150_000
 #: One word with a vector of its own for so many training tokens, and the most that there are.
-PER_WORD, VECTORS = 1000, 20_000
-END, START = FREQUENT + SHAPES, FREQUENT + SHAPES + 1
-SYMBOLS = FREQUENT + SHAPES + 2
+PER_WORD, VECTORS = 300, 10_000
+#: Rounds of training (each reads its share of the texts), noise words for a word, tokens of a task (about) and of a step
+#: (at most), steps of a task at least, and the rate.
+ROUNDS, NOISE, PER_TASK, STEP, STEPS, RATE = 2, 12, 2_000_000, 16_384, 120, 0.1
+END = b""
 
 
 def words_of(text: str) -> list[bytes]:
@@ -40,12 +45,6 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def shape_of(word: bytes) -> int:
-    """The shape of a word that is no symbol: how it ends, and whether it is long."""
-    last = word[-1:]
-    return FREQUENT + (0 if last == b"." else 1 if last == b"," else 2) * 2 + (len(word) > 8)
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ident = F.col(id_col).cast("long")
     return docs.select(ident.alias("id"), (fold_mod(ident, FOLDS) == HELD).alias("held"), text_of(text_col).alias("t"))
@@ -73,117 +72,224 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.filter("not held").select("t").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _symbols(words: list[bytes], number: dict[bytes, int]) -> list[int]:
-    got = [number.get(w, -1) for w in words]
-    return [s if 0 <= s < FREQUENT else shape_of(w) for s, w in zip(got, words, strict=True)]
-
-
-def _triples(ids: list[int]) -> np.ndarray:
-    """(context, symbol) of each token as context * SYMBOLS + symbol; a context is the two symbols before."""
-    s = np.array([START, START, *ids, END], "i8")
-    return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-
-
-def count_triples(texts: DataFrame, number: dict[bytes, int], own: int = 0) -> DataFrame:
-    """(triple, n) over the training texts: SYMBOLS^3 rows at most.  From SYMBOLS^3 on stand the pairs of a symbol and
-    one of the ``own`` words after the frequent ones that follows it, as symbol * own + word: SYMBOLS * own rows."""
-    wanted = {w: i for w, i in number.items() if i < FREQUENT + own}
-
-    def run(batches):
-        total = np.zeros(SYMBOLS**3 + SYMBOLS * own, "i8")
-        for batch in batches:
-            found = []
-            for t in batch.column(0).to_pylist():
-                words = words_of(t)
-                got = np.array([wanted.get(w, -1) for w in words], "i8")
-                ids = _symbols(words, wanted)
-                at = np.nonzero(got >= FREQUENT)[0]
-                before = np.array([START, *ids], "i8")[at]
-                found += [_triples(ids), SYMBOLS**3 + before * own + got[at] - FREQUENT]
-            if found:
-                total += np.bincount(np.concatenate(found), minlength=len(total))
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["triple", "n"])
-
-    return texts.filter("not held").select("t").mapInArrow(run, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
+class Classes:
+    """Items by number: the words with vectors in order of their reversed spelling, after those of each class its rest."""
+
+    def __init__(self, own: list[bytes]):
+        self.words = sorted({END, *own}, key=lambda w: w[::-1])
+        n = len(self.words)
+        self.count = max(1, round(math.sqrt(n)))
+        cut = [n * i // self.count for i in range(self.count + 1)]
+        self.least = [self.words[a][::-1] for a in cut[:-1]]
+        self.first = np.array([a + i for i, a in enumerate(cut)], "i8")  # of a class; its rest is the last before the next
+        self.size = n + self.count
+        of = np.repeat(np.arange(self.count), np.diff(cut))
+        self.item = dict(zip(self.words, (np.arange(n) + of).tolist(), strict=True))
+        self.of = np.repeat(np.arange(self.count), np.diff(self.first))
+
+    def place(self, word: bytes) -> int:
+        return bisect_right(self.least, word[::-1]) - 1
+
+    def rest(self, k: int) -> int:
+        return int(self.first[k + 1]) - 1
+
+    def items(self, words: list[bytes]) -> list[int]:
+        """The items of a text's words and of its end."""
+        known, out = self.item, []
+        for w in words:
+            i = known.get(w)
+            out.append(self.rest(self.place(w)) if i is None else i)
+        out.append(known[END])
+        return out
+
+
+class Model:
+    """source [item, and the start], target and bias by item, the same by class, and the weights of positions."""
+
+    names = ("source", "target", "bias", "class_target", "class_bias", "position")
+
+    def __init__(self, classes: Classes, counts: np.ndarray):
+        rng = np.random.default_rng(SEED)
+        self.classes = classes
+        q = counts + 0.5
+        by_class = np.add.reduceat(q, classes.first[:-1])
+        self.log_class = np.log(by_class / by_class.sum()).astype("f4")
+        self.log_item = np.log(q / by_class[classes.of]).astype("f4")
+        small = lambda n: rng.normal(0, 0.1, (n, SIZE)).astype("f4")
+        self.source, self.target, self.bias = small(classes.size + 1), small(classes.size), self.log_item.copy()
+        self.class_target, self.class_bias = small(classes.count), self.log_class.copy()
+        self.position = np.repeat(np.float32(1) / np.arange(1, REACH + 1, dtype="f4")[:, None], SIZE, axis=1)
+
+    def params(self) -> list[np.ndarray]:
+        return [getattr(self, n) for n in self.names]
+
+    def _read(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What stands at REACH and after (see ``windows``), sorted by class: vectors of ``flat``, places of the words in
+        it, their contexts, their items, and where the classes begin."""
+        vectors = self.source[flat]
+        n = len(flat) - REACH
+        context = vectors[REACH - 1 : REACH - 1 + n] * self.position[0]
+        for k in range(1, REACH):
+            context += vectors[REACH - 1 - k : REACH - 1 - k + n] * self.position[k]
+        at = np.nonzero(flat[REACH:] < self.classes.size)[0]
+        items = flat[REACH:][at]
+        order = np.argsort(items, kind="stable")  # items are numbered by class
+        at, items = at[order], items[order]
+        return vectors, at, context[at], items, np.searchsorted(items, self.classes.first)
+
+    def log_probabilities(self, flat: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the normalised probabilities of the words from REACH on, 0 where none is."""
+        _, at, context, items, cut = self._read(flat)
+        out = np.zeros(len(flat) - REACH)
+        if not len(at):
+            return out
+        found = np.empty(len(at))
+        found[:] = _normalised(context @ self.class_target.T + self.class_bias, self.classes.of[items])
+        for k in np.nonzero(np.diff(cut))[0].tolist():
+            lo, hi, s, e = self.classes.first[k], self.classes.first[k + 1], cut[k], cut[k + 1]
+            found[s:e] += _normalised(context[s:e] @ self.target[lo:hi].T + self.bias[lo:hi], items[s:e] - lo)
+        out[at] = found
+        return out
+
+    def gradients(self, flat: np.ndarray) -> list[np.ndarray]:
+        """Of the noise-contrastive loss, with normalising constants fixed at one as usual.  Instead of drawn noise
+        words, all of a level count by their expected number (NOISE times their frequency)."""
+        classes, grads = self.classes, [np.zeros_like(p) for p in self.params()]
+        source, target, bias, class_target, class_bias, position = grads
+        vectors, at, context, items, cut = self._read(flat)
+        err = _told(context @ self.class_target.T + self.class_bias, self.log_class, classes.of[items])
+        class_target += err.T @ context
+        class_bias += err.sum(axis=0)
+        pull = err @ self.class_target
+        for k in np.nonzero(np.diff(cut))[0].tolist():
+            lo, hi, s, e = classes.first[k], classes.first[k + 1], cut[k], cut[k + 1]
+            err = _told(context[s:e] @ self.target[lo:hi].T + self.bias[lo:hi], self.log_item[lo:hi], items[s:e] - lo)
+            np.matmul(err.T, context[s:e], out=target[lo:hi])
+            bias[lo:hi] = err.sum(axis=0)
+            pull[s:e] += err @ self.target[lo:hi]
+        n = len(flat) - REACH
+        back = np.zeros((n, SIZE), "f4")
+        back[at] = pull
+        to = np.zeros((len(flat), SIZE), "f4")
+        for k in range(REACH):
+            before = slice(REACH - 1 - k, REACH - 1 - k + n)
+            to[before] += back * self.position[k]
+            position[k] = np.einsum("ij,ij->j", back, vectors[before])
+        order = np.argsort(flat, kind="stable")
+        there, starts = np.unique(flat[order], return_index=True)
+        source[there] = np.add.reduceat(to[order], starts, axis=0)
+        return grads
+
+
+def _normalised(scores: np.ndarray, right: np.ndarray) -> np.ndarray:
+    found = scores[np.arange(len(scores)), right].astype("f8")
+    top = scores.max()
+    if top > 60:  # no overflow
+        scores -= scores.max(axis=1, keepdims=True)
+        found = scores[np.arange(len(scores)), right].astype("f8")
+    np.exp(scores, out=scores)
+    return found - np.log(scores.sum(axis=1, dtype="f8"))
+
+
+def _told(scores: np.ndarray, log_noise: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The gradient by score: expected noise times the chance that it is taken for data, less the doubt about data."""
+    scores -= log_noise + np.float32(math.log(NOISE))
+    np.clip(scores, -30, 30, out=scores)
+    at = np.arange(len(scores))
+    doubt = 1 / (1 + np.exp(scores[at, right]))
+    np.negative(scores, out=scores)
+    np.exp(scores, out=scores)
+    scores += 1
+    np.divide(np.exp(log_noise) * np.float32(NOISE), scores, out=scores)
+    scores[at, right] -= doubt
+    return scores
 
 
-def _descend(params: list[np.ndarray], gradients, steps: int) -> None:
-    """Adam with a falling rate; ``gradients`` gives those of all params, which change in place."""
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for step in range(1, steps + 1):
-        rate = 0.03 * (1 - (step - 1) / steps) + 0.001
-        for p, g, m, v in zip(params, gradients(), first, second, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
+def windows(texts: list[list[int]], start: int) -> np.ndarray:
+    """The items of some texts, REACH starts before each, so that none sees another one."""
+    pad = [start] * REACH
+    return np.array([x for t in texts for x in (*pad, *t)], "i8")
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def train(model: Model, feed, step: int, passes: int) -> int:
+    """Adaptive gradient steps over batches of texts as items, in place; the number of tokens."""
+    params = model.params()
+    sums = [np.full_like(p, 1e-6) for p in params]
+    tokens = 0
+    for texts in feed:
+        flat = windows(texts, model.classes.size)
+        tokens += sum(map(len, texts))
+        for _ in range(passes):
+            for s in range(REACH, len(flat), step):
+                for p, g, total in zip(params, model.gradients(flat[s - REACH : s + step]), sums, strict=True):
+                    total += g * g
+                    p -= np.float32(RATE) * g / np.sqrt(total)
+    return tokens
 
 
-def train(triples: np.ndarray, counts: np.ndarray, steps: int = 400, noise: int = 12) -> np.ndarray:
-    """Natural log-probabilities [context, symbol] of the normalised model.
+def fit(texts: DataFrame, model: Model, tokens: int) -> None:
+    """Train ``model`` on the training texts, in place: ROUNDS times the mean of the models of all tasks, by their tokens.
 
-    Noise-contrastive estimation: each triple is told from ``noise`` symbols by frequency, with the normalising
-    constants fixed at one as usual; the table is normalised afterwards over all symbols but the start.  A step takes all
-    triples by their counts and the expected noise of each, so it costs the same however many tokens were counted.
+    A task reads about PER_TASK tokens, and goes over small inputs several times.  A model leaves a task as one row of
+    SIZE-long vectors for each item, which Spark adds up; the driver sees one sum for each item.
     """
-    rng = np.random.default_rng(SEED)
-    freq = np.bincount(triples % SYMBOLS, weights=counts, minlength=SYMBOLS) + 1.0
-    freq[START] = 0
-    q = freq / freq.sum()
-    logq = np.log(np.maximum(q, 1e-12))
-    target, source = rng.normal(0, 0.05, (SYMBOLS, SIZE)).astype("f4"), rng.normal(0, 0.05, (SYMBOLS, SIZE)).astype("f4")
-    near, far, bias = np.ones(SIZE, "f4"), np.ones(SIZE, "f4") * np.float32(0.5), logq.astype("f4")
-    all_contexts = lambda: ((source * far)[:, None, :] + (source * near)[None, :, :]).reshape(-1, SIZE)
-    if counts.sum():
-        seen = (np.bincount(triples, weights=counts, minlength=SYMBOLS**3) / counts.sum()).reshape(-1, SYMBOLS).astype("f4")
-        against = (noise * seen.sum(axis=1, keepdims=True) * q).astype("f4")
-        shift, both = (logq + math.log(noise)).astype("f4"), seen + against
-
-        def gradients():
-            context = all_contexts()
-            err = both * _sigmoid(context @ target.T + (bias - shift)) - seen
-            back = (err @ target).reshape(SYMBOLS, SYMBOLS, SIZE)
-            by_far, by_near = back.sum(axis=1), back.sum(axis=0)
-            return err.T @ context, by_near * near + by_far * far, (by_near * source).sum(axis=0), (by_far * source).sum(axis=0), err.sum(axis=0)
-
-        _descend([target, source, near, far, bias], gradients, steps)
-    scores = (all_contexts() @ target.T + bias).astype("f8")
-    scores[:, START] = -np.inf
-    top = scores.max(axis=1, keepdims=True)
-    return scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))
-
-
-def train_inside(pairs: np.ndarray, shapes: np.ndarray, steps: int = 300, noise: int = 12) -> np.ndarray:
-    """Natural log-probabilities [symbol before, item] of each item inside its shape, from the counts of all pairs; the
-    estimation is that of ``train``, with the noise of each shape by the frequencies in it."""
-    rng = np.random.default_rng(SEED)
-    member = (shapes[:, None] == np.arange(SHAPES)).astype("f4")
-    freq = pairs.sum(axis=0) + 1.0
-    q = freq / (freq @ member)[shapes]
-    logq = np.log(q)
-    target, source, bias = rng.normal(0, 0.05, (len(shapes), SIZE)).astype("f4"), rng.normal(0, 0.05, (SYMBOLS, SIZE)).astype("f4"), logq.astype("f4")
-    if pairs.sum():
-        total = pairs.sum()
-        seen = (pairs / total).astype("f4")
-        both = seen + (noise * (pairs @ member)[:, shapes] * q / total).astype("f4")
-        shift, ridge = (logq + math.log(noise)).astype("f4"), np.float32(1 / total)
-
-        def gradients():
-            err = both * _sigmoid(source @ target.T + (bias - shift)) - seen
-            return err.T @ source + ridge * target, err @ target + ridge * source, err.sum(axis=0)
-
-        _descend([target, source, bias], gradients, steps)
-    scores = (source @ target.T + bias).astype("f8")
-    for s in range(SHAPES):
-        at = np.nonzero(shapes == s)[0]
-        x = scores[:, at]
-        top = x.max(axis=1, keepdims=True)
-        scores[:, at] = x - top - np.log(np.exp(x - top).sum(axis=1, keepdims=True))
-    return scores
+    spark = texts.sparkSession
+    tasks = max(1, math.ceil(tokens / ROUNDS / PER_TASK))
+    step = max(256, min(STEP, tokens // (ROUNDS * tasks * STEPS)))
+    passes = max(1, min(8, math.ceil(STEPS * step * tasks * ROUNDS / max(1, tokens))))
+    width = 2 * SIZE + 1
+    for turn in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches, shared=shared):
+            import copy
+
+            mine = copy.deepcopy(shared.value)
+
+            def feed():
+                for batch in batches:
+                    yield [mine.classes.items(words_of(t)) for t in batch.column(0).to_pylist()]
+
+            n = train(mine, feed(), step, passes)
+            if not n:
+                return
+            blank = lambda rows, columns: np.zeros((rows, columns), "f4")
+            items = np.hstack([mine.source, np.vstack([mine.target, blank(1, SIZE)]), np.append(mine.bias, 0).astype("f4")[:, None]])
+            of_class = np.hstack([mine.class_target, blank(len(mine.class_bias), SIZE), mine.class_bias[:, None]])
+            rows = np.vstack([items, of_class, np.hstack([mine.position, blank(REACH, SIZE + 1)])]) * np.float64(n)
+            for s in range(0, len(rows), 5000):
+                part = rows[s : s + 5000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(s, s + len(part), dtype="i4")), pa.array(np.full(len(part), float(n))), *(pa.array(np.ascontiguousarray(part[:, c])) for c in range(width))], names=["row", "n", *(f"c{c}" for c in range(width))])
+
+        mine = texts.filter("not held").filter(F.pmod(F.xxhash64("t"), F.lit(ROUNDS)) == turn).select("t").coalesce(tasks)
+        sums = mine.mapInArrow(run, ", ".join(["row int, n double", *(f"c{c} double" for c in range(width))])).groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(f"c{c}").alias(f"c{c}") for c in range(width))).toArrow()
+        shared.unpersist()
+        if not sums.num_rows:
+            continue
+        order = np.argsort(sums.column("row").to_numpy())
+        rows = (np.stack([sums.column(f"c{c}").to_numpy() for c in range(width)], axis=1) / sums.column("n").to_numpy()[:, None])[order].astype("f4")
+        n, k = model.classes.size, model.classes.count
+        model.source, model.target, model.bias = rows[: n + 1, :SIZE].copy(), rows[:n, SIZE : 2 * SIZE].copy(), rows[:n, -1].copy()
+        model.class_target, model.class_bias, model.position = rows[n + 1 : n + 1 + k, :SIZE].copy(), rows[n + 1 : n + 1 + k, -1].copy(), rows[n + 1 + k :, :SIZE].copy()
+
+
+def count_rests(counts: DataFrame, classes: Classes) -> np.ndarray:
+    """For each class the tokens of its rest, the discount, and log10 of an unseen word's share of it."""
+
+    def run(batches):
+        total = np.zeros((classes.count, 4), "i8")
+        for batch in batches:
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if w not in classes.item:
+                    total[classes.place(w)] += (n, 1, n == 1, n == 2)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes.count)), *(pa.array(total[:, i]) for i in range(4))], names=["k", "n", "v", "n1", "n2"])
+
+    out = np.zeros((classes.count, 3))
+    for r in counts.select("word", "n").mapInArrow(run, "k long, n long, v long, n1 long, n2 long").groupBy("k").agg(*(F.sum(c).alias(c) for c in ("n", "v", "n1", "n2"))).collect():
+        if r["n"]:
+            d = min(0.9, max(0.1, r["n1"] / max(1, r["n1"] + 2 * r["n2"])))
+            out[r["k"]] = r["n"], d, math.log10(d * r["v"] / r["n"])
+    return out
 
 
 def _most_frequent(counts: DataFrame, head: int) -> list:
@@ -202,6 +308,28 @@ def _most_frequent(counts: DataFrame, head: int) -> list:
     return sorted(words.filter(step >= least).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
 
 
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> tuple:
+    """(texts, counts, facts, most frequent words, model, rests) of a corpus; see ``score_texts``."""
+    small_batches(docs.sparkSession)
+    texts = _texts(docs, id_col, text_col)
+    counts = stage_table(count_words(texts), "word-counts")
+    facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(b""), F.col("n"))), F.lit(0)).alias("ends")).first()
+    n, ends = int(facts["n"]), int(facts["ends"])
+    top = _most_frequent(counts, head)
+    own = top[: min(len(top), n // PER_WORD, VECTORS)]
+    classes = Classes([bytes(r["word"]) for r in own])
+    rests = count_rests(counts, classes)
+    seen = np.zeros(classes.size)
+    for r in own:
+        seen[classes.item[bytes(r["word"])]] = r["n"]
+    seen[classes.item[END]] = ends
+    for k in range(classes.count):
+        seen[classes.rest(k)] = rests[k, 0]
+    model = Model(classes, seen)
+    fit(texts, model, n)
+    return texts, counts, (n, int(facts["v"]), ends), top, model, rests
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -209,88 +337,69 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     folds are dealt.  Without training rows every count is zero.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    texts = _texts(docs, id_col, text_col)
-    counts = stage_table(count_words(texts), "word-counts")
-    facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(b""), F.col("n"))), F.lit(0)).alias("ends")).first()
-    n, v, ends = int(facts["n"]), int(facts["v"]), int(facts["ends"])
-    top = _most_frequent(counts, head)
+    texts, counts, (n, v, ends), top, model, rests = learn(docs, id_col, text_col, head)
+    classes = model.classes
     number = {bytes(r["word"]): i for i, r in enumerate(top)}
     known = np.array([r["n"] for r in top], "i8")
-    own = max(0, min(len(known), n // PER_WORD, VECTORS) - FREQUENT)
-    rows = count_triples(texts, number, own).toArrow()  # SYMBOLS^3 + SYMBOLS * own rows at most
-    keys, times = rows.column("triple").to_numpy(), rows.column("n").to_numpy()
-    single = keys >= SYMBOLS**3
-    order = np.argsort(keys[~single])
-    triples, seen = keys[~single][order], times[~single][order]
-    table = train(triples, seen) / math.log(10)
-    # after each symbol: the words with vectors of their own, then the rest of each shape
-    shapes = np.array([shape_of(bytes(r["word"])) - FREQUENT for r in top[FREQUENT : FREQUENT + own]] + list(range(SHAPES)), "i8")
-    pairs = np.zeros((SYMBOLS, own + SHAPES))
-    pairs[(keys[single] - SYMBOLS**3) // max(1, own), (keys[single] - SYMBOLS**3) % max(1, own)] = times[single]
-    of_shape = np.bincount(triples // SYMBOLS % SYMBOLS * SYMBOLS + triples % SYMBOLS, weights=seen, minlength=SYMBOLS**2).reshape(SYMBOLS, SYMBOLS)[:, FREQUENT:END]
-    for s in range(SHAPES):
-        pairs[:, own + s] = of_shape[:, s] - pairs[:, :own][:, shapes[:own] == s].sum(axis=1)
-    cond = (train_inside(pairs, shapes) / math.log(10)).astype("f4")
-    # counts of the rest of each shape: words, types, and those seen once or twice, for the discount
-    shape = F.lit(FREQUENT) + F.when(F.expr("right(word, 1) = X'2E'"), 0).when(F.expr("right(word, 1) = X'2C'"), 2).otherwise(4) + (F.length("word") > 8).cast("int")
-    mine = spark.createDataFrame([(bytearray(r["word"]),) for r in top[: FREQUENT + own]], "word binary")
-    rare = counts.filter(F.length("word") > 0).join(F.broadcast(mine), "word", "left_anti")
-    stats = {r["s"]: r for r in rare.groupBy(shape.alias("s")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")).collect()}
-    inside = np.zeros((SHAPES, 3))  # tokens, discount, log10 of an unseen word's share
-    for s in range(SHAPES):
-        r = stats.get(FREQUENT + s)
-        if r:
-            d = min(0.9, max(0.1, r["n1"] / max(1, r["n1"] + 2 * r["n2"])))
-            inside[s] = r["n"], d, math.log10(d * r["v"] / r["n"])
+    item_of = np.array([classes.items([w])[0] for w in number], "i8")
     base_of = math.log10(n + v + 1) if n else 0.0
-    shared = spark.sparkContext.broadcast((number, known, table.astype("f8"), inside, cond))
+    # a word of a rest that all workers know: log10 of its share
+    share = np.zeros(len(top))
+    for i, w in enumerate(number):
+        if w not in classes.item:
+            tokens, d, _ = rests[classes.of[item_of[i]]]
+            share[i] = math.log10((known[i] - d) / tokens)
+    shared = spark.sparkContext.broadcast((number, known, item_of, share, model))
 
     def run(batches):
-        number, known, table, inside, cond = shared.value
-        part, i = TaskContext.get().partitionId(), 0
-        base_known, flat = np.log10(known + 1.0) if len(known) else np.zeros(0), table.ravel()
+        number, known, item_of, share, model = shared.value
+        classes, part, row = model.classes, TaskContext.get().partitionId(), 0
+        base_known = np.log10(known + 1.0) if len(known) else np.zeros(0)
+        end = classes.item[END]
+
+        def scored(texts: list[list[int]]) -> np.ndarray:
+            total = np.zeros(len(texts))
+            flat = windows(texts, classes.size)
+            owner = np.repeat(np.arange(len(texts)), [len(t) + REACH for t in texts])
+            for s in range(REACH, len(flat), 32768):
+                total += np.bincount(owner[s : s + 32768], weights=model.log_probabilities(flat[s - REACH : s + 32768]), minlength=len(texts))
+            return total / math.log(10)
+
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
+            texts: list[list[int]] = []
             for ident, held, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 words = words_of(t)
-                got = [number.get(w, -1) for w in words]
-                at = np.array(got, "i8")
-                far = [w for w, g in zip(words, got, strict=True) if g < 0]
-                ids = np.where((at >= 0) & (at < FREQUENT), at, 0)
-                odd = np.nonzero((at < 0) | (at >= FREQUENT))[0]
-                if len(odd):
-                    ids[odd] = [shape_of(words[j]) for j in odd.tolist()]
-                score = float(flat[_triples(ids.tolist())].sum())
-                if len(odd):
-                    before = np.concatenate(([START], ids[:-1]))[odd]
-                    item = np.where((at[odd] >= FREQUENT) & (at[odd] < FREQUENT + own), at[odd] - FREQUENT, own + ids[odd] - FREQUENT)
-                    score += float(cond[before, item].sum(dtype="f8"))
-                mid = at[at >= FREQUENT + own]
-                if len(mid):
-                    cells = inside[ids[at >= FREQUENT + own] - FREQUENT]
-                    score += float(np.log10((known[mid] - cells[:, 1]) / cells[:, 0]).sum())
+                at = np.array([number.get(w, -1) for w in words], "i8")
+                items = item_of[at] if len(item_of) else np.zeros(len(at), "i8")
+                odd = np.nonzero(at < 0)[0].tolist()
+                far = [words[j] for j in odd]
+                places = [classes.place(w) for w in far]
+                if far:
+                    items[odd] = classes.first[np.array(places) + 1] - 1
                 near = at[at >= 0]
-                for column, value in zip(out, ((part << 40) + i, ident, held, len(words) + 1, len(near), float(base_known[near].sum()), score, far), strict=True):
+                texts.append([*items.tolist(), end])
+                for column, value in zip(out, ((part << 40) + row, ident, held, len(words) + 1, len(near), float(base_known[near].sum()), float(share[near].sum()), far, places), strict=True):
                     column.append(value)
-                i += 1
+                row += 1
+            score = scored(texts) + np.array(out[6])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out[:7], (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)] + [pa.array(out[7], pa.list_(pa.binary()))],
-                names=["row", "id", "held", "n_tokens", "near", "base", "score", "far"],
+                [pa.array(c, k) for c, k in zip(out[:6], (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()), strict=True)] + [pa.array(score), pa.array(out[7], pa.list_(pa.binary())), pa.array(out[8], pa.list_(pa.int32()))],
+                names=["row", "id", "held", "n_tokens", "near", "base", "score", "far", "places"],
             )
 
-    scored = stage_table(texts.mapInArrow(run, "row long, id long, held boolean, n_tokens long, near long, base double, score double, far array<binary>"), "scored")
-    cell = lambda k: F.element_at(F.array(*[F.lit(float(x)) for x in inside[:, k]]), shape - FREQUENT + 1)
-    far = scored.select("row", F.explode("far").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
+    scored = stage_table(texts.mapInArrow(run, "row long, id long, held boolean, n_tokens long, near long, base double, score double, far array<binary>, places array<int>"), "scored")
+    cell = lambda k: F.element_at(F.array(*[F.lit(float(x)) for x in rests[:, k]]), F.col("place") + 1)
+    far = scored.select("row", F.explode(F.arrays_zip("far", "places")).alias("x")).groupBy("row", F.col("x.far").alias("word")).agg(F.count(F.lit(1)).alias("times"), F.any_value("x.places").alias("place"))
     looked = far.join(counts, "word", "left")
-    unseen = F.when(cell(0) > 0, cell(2)).otherwise(F.lit(-float(max(1.0, base_of))))
     per_row = looked.groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("base_far"),
-        F.sum(F.col("times") * F.when(F.col("n").isNull(), unseen).otherwise(F.log10(F.greatest(F.col("n") - cell(1), F.lit(1e-9)) / F.greatest(cell(0), F.lit(1.0))))).alias("score_far"),
+        # a rest without words in training is one unseen word
+        F.sum(F.col("times") * F.when(F.col("n").isNull(), cell(2)).otherwise(F.log10((F.col("n") - cell(1)) / cell(0)))).alias("score_far"),
     )
     end = math.log10(ends + 1)
-    return scored.drop("far").join(per_row, "row", "left").select(
+    return scored.drop("far", "places").join(per_row, "row", "left").select(
         F.col("id").alias("doc_id"),
         F.col("held").alias("held_out"),
         "n_tokens",

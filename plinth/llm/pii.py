@@ -40,14 +40,18 @@ AT = re.compile(r" ?[\[(]at[\])] ?", re.IGNORECASE)
 REST = re.compile(r"[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++)++", re.IGNORECASE)
 #: Two or three capitalised words, and a house number with a capitalised word or two before or after it.
 NAME = re.compile(r"(?<![^\W_])[^\W\d_a-z][^\W\d_]{1,15}(?: [^\W\d_a-z][^\W\d_]{1,15}){1,2}(?![^\W_])")
-STREET = re.compile(r"(?<![^\W_])[0-9]{1,5},? (?:[^\W\d_a-z][^\W\d_]{1,15} ){1,2}[^\W\d_]{2,9}\b|(?<![^\W_])[^\W\d_a-z][^\W\d_]{3,20} [0-9]{1,4}(?![0-9])")
 GIVEN = frozenset(
     "james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen maria anna peter paul "
     "hans klaus jürgen wolfgang ursula monika petra sabine andreas stefan jean pierre michel françois marie nathalie isabelle catherine philippe nicolas "
     "josé juan antonio francisco manuel carmen ana isabel pilar dolores carlos luis javier miguel laura".split()
 )
-STREETS = frozenset("street st road rd avenue ave lane ln drive dr boulevard blvd court ct way place square rue".split())
+STREETS = frozenset("street st road rd avenue ave lane ln drive dr boulevard blvd court ct way place square".split())
 STREET_ENDS = ("straße", "strasse", "weg", "platz", "allee", "gasse")
+STREET = re.compile(
+    rf"(?<![^\W_])[0-9]{{1,5}},? (?:[^\W\d_a-z][^\W\d_]{{1,15}} ){{1,2}}(?i:{'|'.join(sorted(STREETS))})(?![^\W_])"
+    r"|(?<![^\W_])[0-9]{1,5},? rue (?:de |du |des )?[^\W\d_a-z][^\W\d_]{1,15}"
+    rf"|(?<![^\W_])[^\W\d_a-z][^\W\d_]{{1,20}}(?:{'|'.join(STREET_ENDS)}) [0-9]{{1,4}}(?![0-9])"
+)
 WORDS = {
     "email": "email e-mail mail contact write courriel correo kontakt".split(),
     "phone": "phone tel telephone call mobile cell fax telefon téléphone teléfono".split(),
@@ -130,7 +134,7 @@ def loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
         found += hidden(text)
     found += [(m.start(), 7, m.end()) for m in NAME.finditer(text) if any(w in GIVEN for w in m[0].lower().split()[:2])]
     if DIGIT.search(text):
-        found += [(m.start(), 8, m.end()) for m in STREET.finditer(text) if _street(m[0])]
+        found += [(m.start(), 8, m.end()) for m in STREET.finditer(text)]
     if not found:
         return found
     starts, ends = [t[0] for t in taken], list(accumulate((t[2] for t in taken), max))
@@ -148,11 +152,6 @@ def loose_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
-def _street(body: str) -> bool:
-    words = body.lower().replace(",", " ").split()
-    return words[-1] in STREETS or (words[1] == "rue") or words[0].endswith(STREET_ENDS)
-
-
 def votes(text: str, span: tuple[int, int, int]) -> tuple[int, int, int]:
     """Format, gazetteer and context, each 1 (personal), 0 (nothing) or -1 (not)."""
     start, kind, end = span

@@ -180,13 +180,17 @@ def _at_most(k: int, n: int, share: float) -> float:
 
 
 def least_accepted(counts: list[int], fdr: float) -> float:
-    """The cut of a band from its counts by bin.  Random tokens spread evenly above a cut and ordinary ones lie low, so
-    with a share of at most ``fdr`` of ordinary ones the upper half of the accepted range holds (1 - fdr) / 2 or more;
-    the first cut that the counts do not contradict stands.  Where they contradict all of them, none is accepted."""
+    """The cut of a band from its counts by bin.
+
+    Random tokens spread evenly above a cut.  With a share of at most ``fdr`` of ordinary ones, wherever those lie, the
+    upper half of the accepted range and each of its tenths hold (1 - fdr) times their even share or more, but for
+    chance; the first cut that the counts do not contradict stands.  Where they contradict all of them, none is accepted.
+    """
     for b in range(1, int(LAMBDA * BINS) + 1):
-        middle = (b + BINS) // 2
-        share = (1 - fdr) * (BINS - middle) / (BINS - b)
-        if _at_most(sum(counts[middle:]), sum(counts[b:]), share) >= SURE:
+        n, size = sum(counts[b:]), BINS - b
+        edges = [b + size * i // 10 for i in range(11)]
+        parts = [((b + BINS) // 2, BINS), *zip(edges, edges[1:], strict=False)]
+        if all(_at_most(sum(counts[lo:hi]), n, (1 - fdr) * (hi - lo) / size) >= SURE / len(parts) for lo, hi in parts):
             return b / BINS
     return NONE
 
