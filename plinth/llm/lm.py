@@ -38,6 +38,8 @@ PER_WORD, VECTORS = 300, 10_000
 #: (at most), steps of a task at least, and the rate.
 ROUNDS, NOISE, PER_TASK, STEP, STEPS, RATE = 2, 12, 2_000_000, 16_384, 120, 0.1
 END = b""
+#: Rows of a product over all classes, so that it stays in a processor's cache.
+CACHE = 2048
 
 
 def words_of(text: str) -> list[bytes]:
@@ -143,8 +145,9 @@ class Model:
         out = np.zeros(len(flat) - REACH)
         if not len(at):
             return out
-        found = np.empty(len(at))
-        found[:] = _normalised(context @ self.class_target.T + self.class_bias, self.classes.of[items])
+        found, of = np.empty(len(at)), self.classes.of[items]
+        for s in range(0, len(at), CACHE):
+            found[s : s + CACHE] = _normalised(context[s : s + CACHE] @ self.class_target.T + self.class_bias, of[s : s + CACHE])
         for k in np.nonzero(np.diff(cut))[0].tolist():
             lo, hi, s, e = self.classes.first[k], self.classes.first[k + 1], cut[k], cut[k + 1]
             found[s:e] += _normalised(context[s:e] @ self.target[lo:hi].T + self.bias[lo:hi], items[s:e] - lo)
@@ -157,13 +160,16 @@ class Model:
         classes, grads = self.classes, [np.zeros_like(p) for p in self.params()]
         source, target, bias, class_target, class_bias, position = grads
         vectors, at, context, items, cut = self._read(flat)
-        err = _told(context @ self.class_target.T + self.class_bias, self.log_class, classes.of[items])
-        class_target += err.T @ context
-        class_bias += err.sum(axis=0)
-        pull = err @ self.class_target
+        of, pull = classes.of[items], np.empty_like(context)
+        for s in range(0, len(at), CACHE):
+            here = context[s : s + CACHE]
+            err = _told(here, self.class_target, self.class_bias, self.log_class, of[s : s + CACHE])
+            class_target += err.T @ here
+            class_bias += err.sum(axis=0)
+            pull[s : s + CACHE] = err @ self.class_target
         for k in np.nonzero(np.diff(cut))[0].tolist():
             lo, hi, s, e = classes.first[k], classes.first[k + 1], cut[k], cut[k + 1]
-            err = _told(context[s:e] @ self.target[lo:hi].T + self.bias[lo:hi], self.log_item[lo:hi], items[s:e] - lo)
+            err = _told(context[s:e], self.target[lo:hi], self.bias[lo:hi], self.log_item[lo:hi], items[s:e] - lo)
             np.matmul(err.T, context[s:e], out=target[lo:hi])
             bias[lo:hi] = err.sum(axis=0)
             pull[s:e] += err @ self.target[lo:hi]
@@ -183,32 +189,32 @@ class Model:
 
 def _normalised(scores: np.ndarray, right: np.ndarray) -> np.ndarray:
     found = scores[np.arange(len(scores)), right].astype("f8")
-    top = scores.max()
-    if top > 60:  # no overflow
-        scores -= scores.max(axis=1, keepdims=True)
-        found = scores[np.arange(len(scores)), right].astype("f8")
-    np.exp(scores, out=scores)
-    return found - np.log(scores.sum(axis=1, dtype="f8"))
+    with np.errstate(over="ignore"):
+        total = np.exp(scores).sum(axis=1)
+    if not np.isfinite(total).all():
+        top = scores.max(axis=1)
+        return found - top - np.log(np.exp(scores - top[:, None]).sum(axis=1, dtype="f8"))
+    return found - np.log(total)
 
 
-def _told(scores: np.ndarray, log_noise: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _told(context: np.ndarray, target: np.ndarray, bias: np.ndarray, log_noise: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The gradient by score: expected noise times the chance that it is taken for data, less the doubt about data."""
-    scores -= log_noise + np.float32(math.log(NOISE))
-    np.clip(scores, -30, 30, out=scores)
-    at = np.arange(len(scores))
-    doubt = 1 / (1 + np.exp(scores[at, right]))
-    np.negative(scores, out=scores)
-    np.exp(scores, out=scores)
-    scores += 1
-    np.divide(np.exp(log_noise) * np.float32(NOISE), scores, out=scores)
-    scores[at, right] -= doubt
-    return scores
-
-
-def windows(texts: list[list[int]], start: int) -> np.ndarray:
+    out = context @ -target.T
+    out += (log_noise + np.float32(math.log(NOISE))) - bias
+    with np.errstate(over="ignore"):
+        np.exp(out, out=out)  # odds of noise
+    at = np.arange(len(out))
+    odds = out[at, right]
+    out += 1
+    np.divide(np.exp(log_noise) * np.float32(NOISE), out, out=out)
+    out[at, right] -= 1 - 1 / (1 + odds)
+    return out
+
+
+def windows(texts: list, start: int) -> np.ndarray:
     """The items of some texts, REACH starts before each, so that none sees another one."""
-    pad = [start] * REACH
-    return np.array([x for t in texts for x in (*pad, *t)], "i8")
+    pad = np.full(REACH, start, "i8")
+    return np.concatenate([x for t in texts for x in (pad, np.asarray(t, "i8"))]) if texts else pad[:0]
 
 
 def train(model: Model, feed, step: int, passes: int) -> int:
@@ -357,7 +363,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         base_known = np.log10(known + 1.0) if len(known) else np.zeros(0)
         end = classes.item[END]
 
-        def scored(texts: list[list[int]]) -> np.ndarray:
+        def scored(texts: list[np.ndarray]) -> np.ndarray:
             total = np.zeros(len(texts))
             flat = windows(texts, classes.size)
             owner = np.repeat(np.arange(len(texts)), [len(t) + REACH for t in texts])
@@ -367,7 +373,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         for batch in batches:
             out: list[list] = [[] for _ in range(9)]
-            texts: list[list[int]] = []
+            texts: list[np.ndarray] = []
             for ident, held, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 words = words_of(t)
                 at = np.array([number.get(w, -1) for w in words], "i8")
@@ -378,7 +384,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if far:
                     items[odd] = classes.first[np.array(places) + 1] - 1
                 near = at[at >= 0]
-                texts.append([*items.tolist(), end])
+                texts.append(np.append(items, end))
                 for column, value in zip(out, ((part << 40) + row, ident, held, len(words) + 1, len(near), float(base_known[near].sum()), float(share[near].sum()), far, places), strict=True):
                     column.append(value)
                 row += 1
