@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.functions.tables import cut
+from plinth.functions.tables import cut, workers_import
 
 
 @dataclass(frozen=True)
@@ -101,6 +102,13 @@ def closure(steps: DataFrame, rounds: int = 64) -> DataFrame:
     return known
 
 
+def unreached(candidates: DataFrame, calls: DataFrame, roots: DataFrame) -> DataFrame:
+    """Candidates that no root reaches over ``calls``; without a root nothing can be told, and none is given."""
+    some = roots.select(F.lit(1).alias("_one")).limit(1)
+    told = candidates.withColumn("_one", F.lit(1)).join(F.broadcast(some), "_one", "left_semi").drop("_one")
+    return told.join(reachable(calls, roots), "node_id", "left_anti")
+
+
 def unreferenced(candidates: DataFrame, calls: DataFrame, roots: DataFrame) -> DataFrame:
     """Candidates that no root reaches over ``calls`` (src, dst); calls of oneself keep nothing alive."""
     live = reachable(calls.filter("src <> dst"), roots)
@@ -147,14 +155,86 @@ def _scoped(edges: DataFrame, roots: DataFrame | int, members: DataFrame | None)
     return roots.select("scope", "node_id"), members.select("scope", "node_id")
 
 
+def immediate_dominators(steps: dict[int, list[int]], root: int) -> dict[int, int]:
+    """The immediate dominator of each node that ``root`` reaches but the root, by fixpoint over reverse postorder."""
+    order: list[int] = []
+    seen, stack = {root}, [(root, iter(steps.get(root, ())))]
+    while stack:
+        node, rest = stack[-1]
+        nxt = next((x for x in rest if x not in seen), None)
+        if nxt is None:
+            order.append(node)
+            stack.pop()
+        else:
+            seen.add(nxt)
+            stack.append((nxt, iter(steps.get(nxt, ()))))
+    rank = {n: i for i, n in enumerate(order)}
+    into: dict[int, list[int]] = {}
+    for a in order:
+        for b in steps.get(a, ()):
+            into.setdefault(b, []).append(a)
+    above = {root: root}
+    changed = True
+    while changed:
+        changed = False
+        for n in reversed(order[:-1]):
+            best = None
+            for p in into[n]:
+                if p in above:
+                    a, b = p, p if best is None else best
+                    while a != b:  # climb to the common ancestor
+                        if rank[a] < rank[b]:
+                            a = above[a]
+                        else:
+                            b = above[b]
+                    best = a
+            if above.get(n) != best:
+                above[n], changed = best, True
+    del above[root]
+    return above
+
+
 def dominators(edges: DataFrame, roots: DataFrame | int, members: DataFrame | None = None) -> DataFrame:
     """(node_id, dominator): d dominates n if no walk from the root of their scope reaches n without d.
 
-    A scope is the flow graph of one method, with roots(scope, node_id) one a scope and members(scope, node_id).  All
-    candidates of all scopes are taken away at once: one frontier loop over (removed, node) pairs of a scope.  A root is
-    never taken away, so its own pairs tell what is reached at all.  Nodes that the root does not reach dominate
-    themselves alone.
+    A scope is the flow graph of one method, with roots(scope, node_id) one a scope and members(scope, node_id): one
+    shuffle by scope, and in each the tree of immediate dominators, from which the pairs follow.  A method's graph is
+    bounded by the flow budgets.  Nodes that the root does not reach dominate themselves alone.  With one root of a whole
+    graph, whose size nothing bounds, ``dominators_by_removal`` answers instead.
     """
+    if members is None:
+        return dominators_by_removal(edges, roots)
+    workers_import(edges.sparkSession)
+    at = members.select("scope", F.col("node_id").alias("a")).distinct()
+    ends = members.select(F.col("scope").alias("_s"), F.col("node_id").alias("b")).distinct()
+    steps = links(edges).join(at, "a").join(ends, "b").filter("scope = _s").select("scope", "a", "b")
+    none = F.lit(None).cast("long")
+    rows = steps.unionByName(at.withColumn("b", none)).unionByName(roots.select("scope", none.alias("a"), F.col("node_id").alias("b")))
+
+    def run(table: pa.Table) -> pa.Table:
+        graph: dict[int, list[int]] = {}
+        nodes, root = [], None
+        for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True):
+            if a is None:
+                root = b
+            elif b is None:
+                nodes.append(a)
+            else:
+                graph.setdefault(a, []).append(b)
+        above = immediate_dominators({a: sorted(b) for a, b in graph.items()}, root) if root is not None else {}
+        out: list[tuple[int, int]] = []
+        for n in nodes:
+            out.append((n, n))
+            while n != root and (n := above.get(n, root if n == root else None)) is not None:
+                out.append((out[-1][0], n))
+        return pa.table({"node_id": pa.array([x for x, _ in out], pa.int64()), "dominator": pa.array([x for _, x in out], pa.int64())})
+
+    return rows.select("scope", F.col("a").cast("long"), F.col("b").cast("long")).groupBy("scope").applyInArrow(run, "node_id long, dominator long")
+
+
+def dominators_by_removal(edges: DataFrame, roots: DataFrame | int, members: DataFrame | None = None) -> DataFrame:
+    """``dominators`` without a group in one task: all candidates of all scopes are taken away at once, one frontier loop
+    over (removed, node) pairs of a scope.  A root is never taken away, so its own pairs tell what is reached at all."""
     roots, members = _scoped(edges, roots, members)
     members = cut(members)
     steps = cut(links(edges))
@@ -189,7 +269,7 @@ def control_dependence(edges: DataFrame, exits: DataFrame | int, members: DataFr
     does not strictly post-dominate a depends on a."""
     post = cut(dominators(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), exits, members).select(F.col("node_id").alias("n"), F.col("dominator").alias("p")))
     split = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
-    open_ = split.join(post, (F.col("a") == F.col("n")) & (F.col("b") == F.col("p")) & (F.col("a") != F.col("b")), "left_anti")
+    open_ = split.join(post, (F.col("a") == F.col("n")) & (F.col("b") == F.col("p")), "left_anti")
     runners = open_.join(post, F.col("b") == F.col("n")).select("a", F.col("p").alias("d"))
     strict = post.filter("n <> p").select(F.col("n").alias("a"), F.col("p").alias("d"))
     return runners.join(strict, ["a", "d"], "left_anti").select(F.col("a").alias("control"), F.col("d").alias("dependent")).distinct()

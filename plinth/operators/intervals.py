@@ -17,13 +17,15 @@ def containment(inner: DataFrame, outer: DataFrame, file: str = "file") -> DataF
     """Pairs where outer [os, oe) contains inner [s, e), both with the column ``file``.
 
     An outer span stands in the cells of its own size that it meets, at most two; an inner one asks the cell of its
-    start at each size that outer spans have (a bounded list of powers of two).  So it is an equi-join, not a cross
-    product of a file.
+    start at each size that outer spans have (their distinct powers of two, one row of 41 at most, broadcast).  So it is
+    an equi-join, not a cross product of a file.
     """
     cells = outer.withColumn("_l", _level(F.col("oe") - F.col("os"))).withColumn("_w", F.pow(F.lit(2.0), F.col("_l")).cast("long"))
     cells = cells.withColumn("_c", F.explode(F.array_distinct(F.array(F.floor(F.col("os") / F.col("_w")), F.floor(F.greatest(F.col("oe") - 1, F.col("os")) / F.col("_w"))))))
-    levels = F.sequence(F.lit(0), F.lit(40))
-    asked = inner.withColumn("_l", F.explode(F.filter(levels, lambda x: x >= F.when(F.col("e") - F.col("s") > 1, _level(F.col("e") - F.col("s"))).otherwise(0)))).withColumn("_c", F.floor(F.col("s") / F.pow(F.lit(2.0), F.col("_l"))))
+    levels = outer.agg(F.collect_set(_level(F.col("oe") - F.col("os"))).alias("_levels")).withColumn("_one", F.lit(1))
+    least = F.when(F.col("e") - F.col("s") > 1, _level(F.col("e") - F.col("s"))).otherwise(0)
+    asked = inner.withColumn("_one", F.lit(1)).join(F.broadcast(levels), "_one").withColumn("_least", least).withColumn("_l", F.explode(F.filter("_levels", lambda x: x >= F.col("_least")))).drop("_one", "_levels", "_least")
+    asked = asked.withColumn("_c", F.floor(F.col("s") / F.pow(F.lit(2.0), F.col("_l"))))
     return asked.join(cells, [file, "_l", "_c"]).filter("os <= s and e <= oe").drop("_l", "_c", "_w")
 
 

@@ -96,7 +96,7 @@ def search(edges: list[tuple[int, int, str, str | None]], sink: int, budget: Bud
             paths.append(list(path))
             if sources:
                 cut_by("maxHops")
-            elif len(paths) >= budget.definitions and queue:
+            elif len(paths) >= budget.definitions:
                 cut_by("maxDefinitions")
                 break
     unique = sorted({tuple(p) for p in paths}, key=lambda p: (p[0], p[-1], "\u001f".join(map(str, p))))

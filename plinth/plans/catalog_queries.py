@@ -76,7 +76,7 @@ def rule_telemetry(spark, d):
     return C.merged_telemetry(read(spark, d, "events").select(F.col("event_type").alias("rule_id"), u.alias("rule_order"), F.col("event_id").alias("millis"), u.alias("marks"), (u % 8).alias("dop")))
 
 
-@query("SELECT user_id AS stream, sum(n)::BIGINT AS reads, count(*) AS misses, sum(k * 10)::BIGINT AS distinct_bytes, sum(k * 10) <= 1500 AS fits FROM (SELECT user_id, CAST(json_extract(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
+@query("SELECT user_id AS stream, sum(n)::BIGINT AS reads, CASE WHEN sum(k * 10) <= 1500 THEN count(*) END AS misses, sum(k * 10)::BIGINT AS distinct_bytes, sum(k * 10) <= 1500 AS fits FROM (SELECT user_id, CAST(json_extract(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
 def cache_needs(spark, d):
     k = F.get_json_object("props", "$.k").try_cast("int")
     return C.cache_trace(read(spark, d, "events").select(F.col("user_id").alias("stream"), k.alias("shard_id"), (k * 10).alias("bytes")), 1500)

@@ -129,9 +129,9 @@ def reachable_set(spark, d):
     return G.reachable(_calls(spark, d), _entries(spark, d))
 
 
-@query(f"{G_SQL}, {_CALLS} SELECT node_id FROM n WHERE kind = 'part' AND node_id NOT IN (SELECT node_id FROM live)")
+@query(f"{G_SQL}, {_CALLS} SELECT node_id FROM n WHERE kind = 'part' AND EXISTS (SELECT 1 FROM live) AND node_id NOT IN (SELECT node_id FROM live)")
 def unreachable_nodes(spark, d):
-    return graph(spark, d).of_kind("part").select("node_id").join(reachable_set(spark, d), "node_id", "left_anti")
+    return G.unreached(graph(spark, d).of_kind("part").select("node_id"), _calls(spark, d), _entries(spark, d))
 
 
 @query(f"{G_SQL}, {_CALLS} SELECT node_id FROM n WHERE kind IN ('part', 'customer') AND node_id NOT IN (SELECT node_id FROM live)")

@@ -39,9 +39,19 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return out.distinct()
 
 
+def _version(spark: SparkSession, d: str) -> tuple:
+    """Names, sizes and times of the files behind the tables."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for kind in (*(k for k, _, _ in KINDS), "lineitem"):
+        at = jvm.org.apache.hadoop.fs.Path(f"{d}/{TABLE.get(kind, kind)}.parquet")
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in at.getFileSystem(conf).listStatus(at)]
+    return tuple(sorted(found))
+
+
 def graph(spark: SparkSession, d: str) -> Graph:
-    """The graph of a folder of tables; checkpointed once in a session."""
-    key = (spark.sparkContext.applicationId, d)
+    """The graph of a folder of tables; checkpointed once in a session for the files as they are."""
+    key = (spark.sparkContext.applicationId, d, _version(spark, d))
     if key not in _cache:
         n = cut(nodes(spark, d))
         ids = n.select("kind", "natural_key", "node_id")

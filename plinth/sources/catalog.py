@@ -94,7 +94,9 @@ def merged_telemetry(runs: DataFrame) -> DataFrame:
 
 def cache_trace(reads: DataFrame, budget: int) -> DataFrame:
     """(stream, reads, misses, distinct_bytes, fits): what a cache of ``budget`` bytes in front of reads(stream, shard_id,
-    bytes) would be asked.  With all shards inside the budget each is loaded once; Spark's own cache decides beyond it."""
+    bytes) would be asked.  With all shards inside the budget each is loaded once; beyond it the order of reads and what
+    is given up decide, and misses are null."""
     shards = reads.groupBy("stream", "shard_id").agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"))
     total = shards.groupBy("stream").agg(F.sum("n").alias("reads"), F.count(F.lit(1)).alias("misses"), F.sum("bytes").alias("distinct_bytes"))
-    return total.withColumn("fits", F.col("distinct_bytes") <= budget)
+    fits = F.col("distinct_bytes") <= budget
+    return total.withColumn("fits", fits).withColumn("misses", F.when(fits, F.col("misses")))

@@ -17,6 +17,14 @@ def fingerprint(nodes: DataFrame, group: list[str]) -> DataFrame:
     return nodes.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("node_id")), lambda x: x.cast("string")), ",").cast("binary"), 256).alias("fingerprint"))
 
 
+def edge_fingerprint(edges: DataFrame) -> DataFrame:
+    """(shard, n, fingerprint) of edges(shard, src, dst, kind): sums over the rows' hashes, so no array holds a shard and
+    partial sums meet in the shuffle.  Rows that repeat count each."""
+    h = F.xxhash64("src", "dst", "kind")
+    parts = [F.sum(F.pmod(h, F.lit(p))) for p in (2147483629, 2147483587)]
+    return edges.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.concat_ws(":", *parts, F.bit_xor(h)).alias("fingerprint"))
+
+
 def write(path: str, nodes: DataFrame, edges: DataFrame, shards: int) -> None:
     """Nodes by (kind, shard), edges by (kind, shard of the target) sorted by target, and the catalog.  A folder that
     exists is refused; the catalog is written last, so a store without one is incomplete."""
@@ -24,6 +32,7 @@ def write(path: str, nodes: DataFrame, edges: DataFrame, shards: int) -> None:
     owned.repartition(shards, "shard").write.mode("errorifexists").partitionBy("shard").parquet(f"{path}/nodes")
     placed = edges.withColumn("shard", F.pmod("dst", F.lit(shards)).cast("long"))
     placed.repartition(shards, "shard").sortWithinPartitions("kind", "dst").write.mode("errorifexists").partitionBy("shard").parquet(f"{path}/edges")
+    edge_fingerprint(placed).write.mode("errorifexists").parquet(f"{path}/edge_catalog")
     fingerprint(owned, ["shard"]).write.mode("errorifexists").parquet(f"{path}/catalog")
 
 
@@ -32,10 +41,15 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def validate(spark: SparkSession, path: str) -> DataFrame:
-    """Shards whose content differs from the catalog, or that only one of the two has; empty for a sound store."""
-    told = spark.read.parquet(f"{path}/catalog").select("shard", F.col("fingerprint").alias("told"))
-    found = fingerprint(spark.read.parquet(f"{path}/nodes").withColumn("shard", F.col("shard").cast("long")), ["shard"]).select("shard", "fingerprint")
-    return told.join(found, "shard", "full_outer").filter(~F.col("told").eqNullSafe(F.col("fingerprint")))
+    """(part, shard, told, fingerprint) of shards whose nodes or edges differ from the catalog, or that only one of the
+    two has; empty for a sound store."""
+    out = None
+    for part, catalog, make in (("nodes", "catalog", lambda x: fingerprint(x, ["shard"])), ("edges", "edge_catalog", edge_fingerprint)):
+        told = spark.read.parquet(f"{path}/{catalog}").select("shard", F.col("fingerprint").alias("told"))
+        found = make(spark.read.parquet(f"{path}/{part}").withColumn("shard", F.col("shard").cast("long"))).select("shard", "fingerprint")
+        rows = told.join(found, "shard", "full_outer").filter(~F.col("told").eqNullSafe(F.col("fingerprint"))).select(F.lit(part).alias("part"), "shard", "told", "fingerprint")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def incoming_projection(spark: SparkSession, path: str, shards: int, target: int, kinds: list[str], limit: int) -> DataFrame:
