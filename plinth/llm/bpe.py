@@ -28,7 +28,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 LONG, STEP = 48, 24
 CACHED = 550_000
 #: Texts are handled in groups of about so many characters, and words of so many bytes at once in DuckDB.
-GROUP, AT_ONCE = 4_000_000, 400_000
+GROUP, AT_ONCE = 4_000_000, 700_000
 
 _SHIFT = 36
 _P = 1 << _SHIFT  # positions of a word
@@ -80,8 +80,8 @@ WITH RECURSIVE s(it, wp, tok) AS (
 
 _LAST = f"""
 , ends AS (SELECT wp {_W} AS w, max(it) AS last FROM s GROUP BY 1)
-SELECT e.w, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY wp)
-FROM s JOIN ends e ON (s.wp {_W}) = e.w AND s.it = e.last
+SELECT count(*), string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY wp), string_agg(v.hex, '' ORDER BY wp)
+FROM s JOIN ends e ON (s.wp {_W}) = e.w AND s.it = e.last JOIN vocabulary v ON v.id = s.tok
 GROUP BY e.w ORDER BY e.w"""
 
 _DECODE = """
@@ -113,8 +113,8 @@ class Encoder:
         self.part = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
         self.cache = TwoGenerations(cap)
 
-    def _contract(self, words: list[bytes], sql: str) -> list[list[int]]:
-        """The ids of each word (none is empty), a bounded number of bytes at once."""
+    def _contract(self, words: list[bytes], sql: str) -> list[tuple[int, str, bytes]]:
+        """(number of ids, ids, decoded bytes) of each word (none is empty), a bounded number of bytes at once."""
         out, at = [], 0
         while at < len(words):
             end, n = at, 0
@@ -125,11 +125,14 @@ class Encoder:
             owner = np.repeat(np.arange(len(size)), size)
             pos = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
             self.con.register("seed", pa.table({"w": owner, "pos": pos, "tok": self.byte[np.frombuffer(b"".join(words[at:end]), "u1")]}))
-            out += [[int(x) for x in ids.split()] for _, ids in self.con.execute(sql + _LAST).fetchall()]
+            out += [(n, ids, bytes.fromhex(raw)) for n, ids, raw in self.con.execute(sql + _LAST).fetchall()]
             self.con.unregister("seed")
             at = end
         return out
 
+    def _ids(self, words: list[bytes], sql: str) -> list[list[int]]:
+        return [[int(x) for x in ids.split()] for _, ids, _ in self._contract(words, sql)]
+
     def _borders(self, start: int, ids: list[int]) -> dict[int, tuple[int, int]]:
         """Each border inside a part, with the tokens before and after it."""
         out, at = {}, start
@@ -140,6 +143,8 @@ class Encoder:
 
     def _long(self, words: list[bytes]) -> list[list[int]]:
         """The ids of words over LONG bytes, by parts."""
+        if not words:
+            return []
         parts = [[(s, min(s + LONG, len(w))) for s in range(0, max(1, len(w) - LONG + STEP), STEP)] for w in words]
         ids: list[dict] = [{} for _ in words]
         stands: dict[tuple[int, int], bool] = {}
@@ -149,7 +154,7 @@ class Encoder:
             raw = [words[k][s:e] for k, (s, e) in todo]
             distinct = sorted(set(raw), key=lambda x: (len(x), x))
             short = [x for x in distinct if len(x) <= LONG]
-            found = dict(zip(distinct, self._contract(short, _SHORT) + self._contract(distinct[len(short) :], _RUNS), strict=True))
+            found = dict(zip(distinct, self._ids(short, _SHORT) + self._ids(distinct[len(short) :], _RUNS), strict=True))
             for (k, p), x in zip(todo, raw, strict=True):
                 ids[k][p] = found[x]
             # borders that two neighbouring parts share, and whether the tokens beside them stay apart
@@ -162,7 +167,7 @@ class Encoder:
                     shared[-1].append([(q, (a[q][0], b[q][1])) for q in both])
                     pairs.update(p for _, p in shared[-1][-1])
             new = sorted(pairs - stands.keys())
-            for p, got in zip(new, self._contract([spell[a] + spell[b] for a, b in new], _SHORT), strict=True):
+            for p, got in zip(new, self._ids([spell[a] + spell[b] for a, b in new], _SHORT), strict=True):
                 stands[p] = tuple(got) == p
             done = True
             for k, ps in enumerate(parts):
@@ -195,9 +200,9 @@ class Encoder:
         known = {w: [self.ranks[w]] for w in words if w in self.ranks}  # a token as it stands needs no merge
         short = [w for w in words if w not in known and len(w) <= LONG]
         long = [w for w in words if w not in known and len(w) > LONG]
-        known.update(zip(short, self._contract(short, _SHORT), strict=True))
         known.update(zip(long, self._long(long), strict=True))
-        out, order, at = {}, list(known), 0
+        out = dict(zip(short, self._contract(short, _SHORT), strict=True))
+        order, at = list(known), 0
         while at < len(order):
             end, n = at, 0
             while end < len(order) and (n == 0 or n + len(known[order[end]]) <= AT_ONCE):
