@@ -28,10 +28,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir; a folder of our own only where
-    none is named."""
+    """Reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir; a folder of our own only on a
+    local master, where none is named."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own.append(tempfile.mkdtemp(prefix="plinth-checkpoint-"))
         sc.setCheckpointDir(_own[0])
     return df.checkpoint(eager=True)

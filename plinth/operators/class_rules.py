@@ -11,13 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions.tables import cut, first_wins
-from plinth.operators.syntax import _nearest
+from plinth.operators import proposals as P
+from plinth.operators.syntax import _nearest, lift
 
 # The rules that mark, propagate and propose.
 DECLARATION_MARK, EXPRESSION_MARK, TYPE_MARK = "DEL-CLASS-MARK-DECL-001", "DEL-CLASS-MARK-EXPR-001", "DEL-CLASS-MARK-TYPE-001"
 NEW_RULE, LOCAL_RULE, HOST_RULE = "DEL-CLASS-PROP-NEW-DECL-001", "DEL-CLASS-PROP-LOCAL-REF-001", "DEL-CLASS-PROP-DECL-HOST-001"
 METHOD_USAGE, LOCAL_FUNCTION_USAGE, INDEXER_USAGE = "DEL-CLASS-PROP-METHOD-PARAM-USAGE-001", "DEL-CLASS-PROP-LOCALFUNC-PARAM-USAGE-001", "DEL-CLASS-PROP-INDEXER-PARAM-USAGE-001"
 DELEGATE_USAGE, EXTENSION_USAGE = "DEL-CLASS-PROP-DELEGATE-USAGE-001", "DEL-CLASS-PROP-EXT-MAPPED-001"
+HOST_LIFT, IF_LIFT, SWITCH_LIFT = "DEL-CLASS-LIFT-HOST-001", "DEL-CLASS-LIFT-IF-001", "DEL-CLASS-LIFT-SWITCH-001"
+DEFAULT_RULE, CONTROL_RULE, IF_RULE = "DEL-CLASS-PROP-DEFAULT-001", "DEL-CLASS-PROP-CTRL-001", "DEL-CLASS-PROP-IF-001"
 HOST_PROPOSALS = {
     "Field": "DEL-CLASS-PROP-TYPE-DECL-001",
     "Property": "DEL-CLASS-PROP-TYPE-DECL-001",
@@ -251,3 +254,32 @@ def shrink_proposals(plans: DataFrame, calls: DataFrame, arguments: DataFrame, u
         return out
     bound = p.join(uses.filter("use in ('group', 'lambda', 'invocation')").select("owner_id", "node_id").distinct(), "owner_id")
     return out.unionByName(bound.select("rule_id", "action", "node_id", F.col("position").cast("long").alias("removed"), "source"))
+
+
+def class_lifts(seeds: DataFrame, marked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_id, rule_id, source) of the three rules that lift marks(node_id, rule_id): hosts, parts of ifs, and sections and
+    switches all of whose statements are marked or lifted by the other two; a node once, in that order of rules."""
+    hosts = cut(lift(marked, nodes, (LOCAL_RULE,)).select("node_id", F.lit(HOST_LIFT).alias("rule_id"), "source"))
+    ifs = cut(P.if_lifts(marked.select("node_id").distinct(), nodes).select("node_id", F.lit(IF_LIFT).alias("rule_id"), "source"))
+    known = cut(marked.select("node_id").unionByName(hosts.select("node_id")).unionByName(ifs.select("node_id")).distinct())
+    switches = P.switch_lifts(seeds, known, nodes).select("node_id", F.lit(SWITCH_LIFT).alias("rule_id"), "source")
+    rank = F.when(F.col("rule_id") == HOST_LIFT, 0).when(F.col("rule_id") == IF_LIFT, 1).otherwise(2)
+    return first_wins(hosts.unionByName(ifs).unionByName(switches), ["node_id"], [rank, "source"])
+
+
+def class_deletes(seeds: DataFrame, propagated: DataFrame, lifted: DataFrame, nodes: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Units of the control and the default rule for a class, from the tables of ``delete_proposals``.  Types, what comes
+    from a host of ``declaration_hosts``, and local declarations that come from a type are left to other rules."""
+    units = P.delete_proposals(seeds, propagated, lifted, nodes)
+    kinds = nodes.select("node_id", F.col("kind").alias("_kind"))
+    units = units.join(kinds, "node_id").join(kinds.select(F.col("node_id").alias("source"), F.col("_kind").alias("_from")), "source", "left")
+    units = units.join(hosts.select(F.col("node_id").alias("source"), F.lit(True).alias("_hosted")).distinct(), "source", "left")
+    typed = (F.col("_kind") == "LocalDeclarationStatement") & F.coalesce(F.col("_from").isin(*TYPES), F.lit(False))
+    control = F.col("rule_id") == P.CONTROL_RULE
+    kept = units.filter(control | ~(F.col("_kind").isin(*TYPES) | F.col("_hosted").isNotNull() | typed))
+    return kept.select(F.when(control, CONTROL_RULE).otherwise(DEFAULT_RULE).alias("rule_id"), "action", "node_id", "replacement", "conflict_key", "source")
+
+
+def class_if_proposals(completions: DataFrame) -> DataFrame:
+    """Units of the if rule for a class; the same as ``if_proposals`` but for the rule's id."""
+    return P.if_proposals(completions).withColumn("rule_id", F.lit(IF_RULE))

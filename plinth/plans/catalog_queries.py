@@ -80,3 +80,9 @@ def rule_telemetry(spark, d):
 def cache_needs(spark, d):
     k = F.get_json_object("props", "$.k").try_cast("int")
     return C.cache_trace(read(spark, d, "events").select(F.col("user_id").alias("stream"), k.alias("shard_id"), (k * 10).alias("bytes")), 1500)
+
+
+@query()
+def cache_replay(spark, d):
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    return C.cache_replay(read(spark, d, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("at"), k.alias("shard_id"), (k * 10).alias("bytes")), 1500)

@@ -7,6 +7,7 @@ boundary(build_id, shard_id, src, dst): edges between shards, kept apart from bo
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,3 +101,41 @@ def cache_trace(reads: DataFrame, budget: int) -> DataFrame:
     total = shards.groupBy("stream").agg(F.sum("n").alias("reads"), F.count(F.lit(1)).alias("misses"), F.sum("bytes").alias("distinct_bytes"))
     fits = F.col("distinct_bytes") <= budget
     return total.withColumn("fits", fits).withColumn("misses", F.when(fits, F.col("misses")))
+
+
+def cache_replay(reads: DataFrame, budget: int) -> DataFrame:
+    """(stream, lookups, hits, misses, bytes_read, evictions) of reads(stream, at, shard_id, bytes) in the order of at, then
+    shard_id, through a cache of ``budget`` bytes that gives up what was used longest ago.  A shard wider than the budget,
+    or any shard where it is 0, is read past the cache.
+
+    Order decides, so a stream is read in one task, in batches; only what the cache holds stays in memory."""
+
+    def run(batches):
+        now, held, size, told = None, {}, 0, [0, 0, 0, 0, 0]
+        for batch in batches:
+            for stream, shard, width in zip(batch["stream"].to_pylist(), batch["shard_id"].to_pylist(), batch["bytes"].to_pylist()):
+                if told[0] and stream != now:
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (now, *told)], names=names)
+                if stream != now:
+                    now, held, size, told = stream, {}, 0, [0, 0, 0, 0, 0]
+                told[0] += 1
+                if shard in held:
+                    told[1] += 1
+                    held[shard] = held.pop(shard)  # a dict keeps the order of use
+                    continue
+                width = width or 0
+                told[2] += 1
+                told[3] += width
+                if budget and width <= budget:
+                    while held and size + width > budget:
+                        size -= held.pop(next(iter(held)))
+                        told[4] += 1
+                    held[shard] = width
+                    size += width
+        if told[0]:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (now, *told)], names=names)
+
+    names = ["stream", "lookups", "hits", "misses", "bytes_read", "evictions"]
+    rows = reads.select(F.col("stream").cast("long"), "at", F.col("shard_id").cast("long"), F.col("bytes").cast("long")).filter("stream is not null")
+    rows = rows.repartition("stream").sortWithinPartitions("stream", "at", "shard_id").select("stream", "shard_id", "bytes")
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
