@@ -103,5 +103,8 @@ class TwoGenerations:
 
     def put(self, new: dict) -> None:
         self.young.update(new)
+        self.turn()
+
+    def turn(self) -> None:
         if len(self.young) > self.cap:
             self.old, self.young = self.young, {}

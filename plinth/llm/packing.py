@@ -8,6 +8,7 @@ window and gives one record for each piece.  No token is moved between partition
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -25,11 +26,22 @@ CACHED = 450_000
 #: Outside these characters a text can be put in lower case before the tokenizer does so, with the same ids.
 _UNUSUAL = re.compile("[\x1c-\x1f\u0130\u0300-\U0010ffff]")
 #: A stop or comma after a letter and before white space is a word of its own to the tokenizer.
-_STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=\s)")
+_STOP = re.compile(r"[.,](?<=[^\W\d_][.,])(?=\s)")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: What stands between words that are encoded in one call, and how many words that are.
+_MARK, _GROUP = "|", 256
 
 _encoders: dict = {}
 
 
+def _usual(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _UNUSUAL.search(text)
+    return not any(c in text for c in _SEPARATORS)
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian 16-bit bytes.  The tokenizer drops white space and never merges over it, so
     parts between white space are encoded apart, each distinct one once while the cache knows it."""
@@ -44,24 +56,59 @@ class WordEncoder:
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids do not fit 16 bits")
         self.cache = TwoGenerations(cap)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _alone(self, words: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return {w: struct.pack(f"<{len(ids)}H", *ids) for w, ids in zip(words, (e.ids for e in found), strict=True)}
+
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        """Words in groups with a mark between them, which costs less than a call's result for each; a word that holds the
+        mark or unusual characters, and a group that does not give as many marks as it should, are encoded word by word."""
+        if self.mark is None:
+            return self._alone(words)
+        plain, alone, out = [], [], {}
+        for w in words:
+            (alone if _MARK in w or _UNUSUAL.search(w) else plain).append(w)
+        groups = [plain[i : i + _GROUP] for i in range(0, len(plain), _GROUP)]
+        found = self.tokenizer.encode_batch_fast([f" {_MARK} ".join(g) for g in groups], add_special_tokens=False)
+        for group, encoding in zip(groups, found, strict=True):
+            ids = np.asarray(encoding.ids, "<u2")
+            ends = np.flatnonzero(ids == self.mark).tolist()
+            if len(ends) != len(group) - 1:
+                alone += group
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(group, [*ends, len(ids)], strict=True):
+                out[w] = raw[2 * at : 2 * end]
+                at = end + 1
+        if alone:
+            out |= self._alone(alone)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # str.split() also splits at 0x1C-0x1F, which are no white space to the tokenizer
         parts = []
         for t in texts:
-            if _UNUSUAL.search(t):
-                parts.append([t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split())
+            if _usual(t):
+                parts.append(_STOP.sub(r" \g<0>", t.lower()).split())
+            else:
+                parts.append([t] if any(c in t for c in _SEPARATORS) else t.split())
+        young, old, fresh = self.cache.young, self.cache.old, []
+        for w in set().union(*parts).difference(young):
+            if w in old:
+                young[w] = old[w]
             else:
-                parts.append(_STOP.sub(r" \1", t.lower()).split())
-        known, missing = self.cache.take(set().union(*parts))
-        if missing:
-            new = dict(zip(missing, self._encode(missing), strict=True))
-            known.update(new)
-            self.cache.put({k: v for k, v in new.items() if len(k) <= 64})
-        return [b"".join([known[p] for p in ps]) for ps in parts]
+                fresh.append(w)
+        if fresh:
+            young.update(self._encode(fresh))
+        out = [b"".join(map(young.__getitem__, ps)) for ps in parts]
+        for w in fresh:
+            if len(w) > 64:
+                del young[w]
+        self.cache.turn()
+        return out
 
 
 def _encoder(path: str) -> WordEncoder:

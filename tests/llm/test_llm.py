@@ -700,3 +700,20 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(empty_dir / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(empty_dir / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(empty_dir)).count() == 0
+
+
+def test_words_encoded_in_groups_equal_the_tokenizer():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from plinth.llm import packing
+
+    path, draw = public_tokenizers.path(packing.VOCABULARY), random.Random(4)
+    plain = Tokenizer.from_file(path)
+    texts = ["".join(draw.choices("|¦azİ.,é\x1c\x1f\u0301œÀ \n\t\u00a0\u3000一1_'\x85", k=draw.randrange(90))) for _ in range(1500)] + ["", "x" * 70 + " | " + "x" * 70]
+    for cap in (100, 100_000):
+        encoder = packing.WordEncoder(path, cap)
+        found = [b for i in range(0, len(texts), 400) for b in encoder.encode(texts[i : i + 400])]
+        assert found == [b"".join(x.to_bytes(2, "little") for x in plain.encode(t, add_special_tokens=False).ids) for t in texts]
