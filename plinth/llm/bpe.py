@@ -1,13 +1,14 @@
-"""Byte-level BPE in DuckDB, inside each partition: rows of (word, position, token) join the table of merges.
+"""Byte-level BPE in DuckDB, inside each partition: words as rows that join the table of merges.
 
 Words are what the splitting pattern finds.  A recursive query contracts, in every word at once, the leftmost pair of
-least rank until no pair merges.  A word over LONG bytes is contracted in overlapping parts of that size.  Two parts are
+least rank until no pair merges; a word is one row, with its tokens and the ranks of their pairs, so that a round looks
+up the two pairs beside the new token only.  A word over LONG bytes is contracted in overlapping parts of that size.  Two parts are
 joined at a border that both have and that stands when the two tokens beside it are contracted as one word: tokens whose
 neighbours all stand so are those of the whole word, as a merge over a border would happen in the pair of tokens too.
 Parts without such a border become one part, for which a query contracts all pairs of the least rank up to the first one
 that makes a pair of lower rank; so work grows with the length of a word.  Ordered aggregations give the ids of a word
-and, from the ids, its decoded bytes; the parts of a document follow one another in its own order.  Only words that the
-worker has not seen lately reach DuckDB, whose scratch files (within one query) lie in the worker's temporary folder.
+and, from the ids, its decoded bytes; the parts of a document follow one another in its own order, joined by column.
+Only words that the worker has not seen lately reach DuckDB, whose scratch files (within one query) lie in the worker's temporary folder.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,26 +28,37 @@ from .common import TwoGenerations, read, small_batches, text_of
 
 RANKS = "byte_bpe_50k.tiktoken"
 LONG, STEP = 48, 24
-CACHED = 550_000
+CACHED = 700_000
 #: Texts are handled in groups of about so many characters, and words of so many bytes at once in DuckDB.
-GROUP, AT_ONCE = 4_000_000, 700_000
+GROUP, AT_ONCE = 6_000_000, 700_000
+
+#: White characters, as the pattern's \\s knows them; texts where a part is more than one of them and what follows.
+_WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_UNEVEN = rf"{_WHITE}{{3}}|{_WHITE}{{2}}\z"
 
 _SHIFT = 36
 _P = 1 << _SHIFT  # positions of a word
 _POS, _W = f"& {_P - 1}", f">> {_SHIFT}"
 
+#: The rank of a pair that does not merge.
+_NONE = 1 << 20
+
 _SHORT = f"""
-WITH RECURSIVE s(it, wp, tok) AS (
-  SELECT 0, w * {_P} + pos, tok FROM seed
+WITH RECURSIVE s(w, toks, ranks, r) AS (
+  SELECT w, toks, ranks, list_min(ranks) FROM seed
   UNION ALL
-  SELECT s.it + 1, s.wp - CASE WHEN s.wp > b.at THEN 1 ELSE 0 END, CASE WHEN s.wp = b.at THEN b.new ELSE s.tok END
-  FROM s JOIN (
-    SELECT w, (w << {_SHIFT}) + (k {_POS}) AS at, k {_W} AS new FROM (
-      SELECT l.wp {_W} AS w, min((m.rank << {_SHIFT}) + (l.wp {_POS})) AS k
-      FROM s l JOIN s r ON r.wp = l.wp + 1 JOIN merges m ON m.pair = (l.tok << 16) + r.tok GROUP BY 1)
-  ) b ON (s.wp {_W}) = b.w
-  WHERE s.wp <> b.at + 1
-)"""
+  SELECT w, toks, ranks, list_min(ranks) FROM (
+    SELECT w, list_concat(list_concat(toks[1:k - 1], [r]), toks[k + 2:]) AS toks,
+           list_concat(list_concat(ranks[1:k - 2], [CAST(coalesce(ml.rank, {_NONE}) AS INTEGER), CAST(coalesce(mr.rank, {_NONE}) AS INTEGER)]), ranks[k + 2:]) AS ranks
+    FROM (SELECT *, list_position(ranks, r) AS k FROM s WHERE r < {_NONE})
+    LEFT JOIN merges ml ON ml.pair = CAST(toks[k - 1] AS BIGINT) * 65536 + r
+    LEFT JOIN merges mr ON mr.pair = CAST(r AS BIGINT) * 65536 + toks[k + 2])
+), done AS MATERIALIZED (SELECT w, toks[2:] AS toks FROM s WHERE r = {_NONE})
+SELECT len(toks), array_to_string(toks, ' '), hex
+FROM done JOIN (
+  SELECT w, string_agg(v.hex, '' ORDER BY pos) AS hex
+  FROM (SELECT w, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM done) JOIN vocabulary v ON v.id = tok GROUP BY w
+) USING (w) ORDER BY w"""
 
 _RUNS = f"""
 WITH RECURSIVE s(it, wp, tok) AS (
@@ -76,10 +89,7 @@ WITH RECURSIVE s(it, wp, tok) AS (
       )
     )
   ) WHERE NOT eaten
-)"""
-
-_LAST = f"""
-, ends AS (SELECT wp {_W} AS w, max(it) AS last FROM s GROUP BY 1)
+), ends AS (SELECT wp {_W} AS w, max(it) AS last FROM s GROUP BY 1)
 SELECT count(*), string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY wp), string_agg(v.hex, '' ORDER BY wp)
 FROM s JOIN ends e ON (s.wp {_W}) = e.w AND s.it = e.last JOIN vocabulary v ON v.id = s.tok
 GROUP BY e.w ORDER BY e.w"""
@@ -102,6 +112,7 @@ class Encoder:
         pairs = {ranks[t[:i]] * 65536 + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.sizes = dict(zip(ranks.values(), map(len, ranks), strict=True))
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": f"{tempfile.gettempdir()}/plinth-bpe-{os.getpid()}"})
+        self.first = np.array([[pairs.get(a * 65536 + b, _NONE) for b in self.byte.tolist()] for a in self.byte.tolist()], "i4")
         merges = pa.table({"pair": pa.array(list(pairs), pa.int64()), "rank": pa.array(list(pairs.values()), pa.int64())})
         vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "hex": [t.hex() for t in ranks]})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
@@ -122,14 +133,27 @@ class Encoder:
                 n += len(words[end])
                 end += 1
             size = np.array([len(w) for w in words[at:end]], "i8")
-            owner = np.repeat(np.arange(len(size)), size)
-            pos = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-            self.con.register("seed", pa.table({"w": owner, "pos": pos, "tok": self.byte[np.frombuffer(b"".join(words[at:end]), "u1")]}))
-            out += [(n, ids, bytes.fromhex(raw)) for n, ids, raw in self.con.execute(sql + _LAST).fetchall()]
+            spelt = np.frombuffer(b"".join(words[at:end]), "u1")
+            self.con.register("seed", self._lists(size, spelt) if sql is _SHORT else self._rows(size, spelt))
+            out += [(n, ids, bytes.fromhex(raw)) for n, ids, raw in self.con.execute(sql).fetchall()]
             self.con.unregister("seed")
             at = end
         return out
 
+    def _rows(self, size: np.ndarray, spelt: np.ndarray) -> pa.Table:
+        owner = np.repeat(np.arange(len(size)), size)
+        return pa.table({"w": owner, "pos": np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size), "tok": self.byte[spelt]})
+
+    def _lists(self, size: np.ndarray, spelt: np.ndarray) -> pa.Table:
+        """A row for each word: its tokens after a -1, and the ranks of the pairs that begin with them."""
+        cut = np.concatenate(([0], np.cumsum(size + 1)))
+        at = np.arange(len(spelt)) + np.repeat(np.arange(1, len(size) + 1), size)
+        toks, ranks = np.full(cut[-1], -1, "i4"), np.full(cut[-1], _NONE, "i4")
+        toks[at], ranks[at[:-1]] = self.byte[spelt], self.first[spelt[:-1], spelt[1:]]
+        ranks[cut[1:] - 1] = _NONE
+        lists = (pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values)) for values in (toks, ranks))
+        return pa.table([pa.array(np.arange(len(size))), *lists], names=["w", "toks", "ranks"])
+
     def _ids(self, words: list[bytes], sql: str) -> list[list[int]]:
         return [[int(x) for x in ids.split()] for _, ids, _ in self._contract(words, sql)]
 
@@ -217,9 +241,23 @@ class Encoder:
             at = end
         return out
 
-    def encode(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
-        parts = [self.part.findall(t) for t in texts]
-        known, missing = self.cache.take(set().union(*parts))
+    def _parts(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct parts of some texts, the parts of all texts by number, and where each text's parts begin and end.
+
+        A single blank or line feed begins a part wherever it stands.  Only the last of several white characters before
+        another one is a match of its own, so texts with three of them, or two at their end, are cut by ``part``.
+        """
+        mark = next(c for c in map(chr, range(1, 0x110000)) if c not in " \n" and not any(c in t for t in texts))
+        column = pa.array(texts, pa.large_string())
+        uneven = pc.match_substring_regex(column, _UNEVEN).to_numpy(zero_copy_only=False)
+        cut = [mark.join(self.part.findall(t)) if odd else t.replace(" ", mark + " ").replace("\n", f"{mark}\n{mark}") for t, odd in zip(texts, uneven.tolist(), strict=True)]
+        split = pc.split_pattern(pa.array(cut, pa.large_string()), mark)
+        flat = split.flatten().dictionary_encode()
+        return flat.dictionary, flat.indices.to_numpy(), split.offsets.to_numpy()
+
+    def _lookup(self, parts: list[str]) -> list[tuple[int, str, bytes]]:
+        """(number of ids, ids as decimal text, decoded bytes) of each of some distinct parts."""
+        known, missing = self.cache.take(parts)
         if missing:
             split = [self.pattern.findall(p) for p in missing]
             words, unknown = self.cache.take(set().union(*split))
@@ -229,16 +267,54 @@ class Encoder:
             words.update(new)
             for p, ws in zip(missing, split, strict=True):
                 if len(ws) != 1:
-                    new[p] = (sum(words[w][0] for w in ws), " ".join([words[w][1] for w in ws]), b"".join([words[w][2] for w in ws]))
+                    new[p] = (sum(words[w][0] for w in ws), " ".join([words[w][1] for w in ws if words[w][0]]), b"".join([words[w][2] for w in ws]))
                 else:
                     new[p] = words[ws[0]]
             known.update(new)
             self.cache.put({k: v for k, v in new.items() if len(k) <= 64})
-        out = []
-        for ps in parts:
-            n, ids, raw = zip(*[known[p] for p in ps], strict=True) if ps else ((), (), ())
-            out.append((sum(n), " ".join(ids), b"".join(raw)))
-        return out
+        return [known[p] for p in parts]
+
+    def columns(self, texts: list[str]) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """For some texts, by column: numbers of ids, ids as decimal text, decoded bytes."""
+        if not texts:
+            return np.zeros(0, "i8"), pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        distinct, at, cut = self._parts(texts)
+        found = self._lookup(distinct.to_pylist())
+        n, ids, raw = np.array([x[0] for x in found], "i8"), [x[1] for x in found], [x[2] for x in found]
+        if not n.all():  # empty parts
+            some = n[at] > 0
+            at, cut = at[some], np.concatenate(([0], np.cumsum(some)))[cut]
+        total = np.concatenate(([0], np.cumsum(n[at])))[cut]
+        at, cut = pa.array(at), pa.array(cut, pa.int64())
+        joined = [pc.binary_join(pa.LargeListArray.from_arrays(cut, pa.array(values, kind).take(at)), pa.scalar(between, kind)) for values, kind, between in ((ids, pa.large_string(), " "), (raw, pa.large_binary(), b""))]
+        return np.diff(total), *joined
+
+    def encode(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
+        n, ids, raw = self.columns(texts)
+        return list(zip(n.tolist(), ids.to_pylist(), raw.to_pylist(), strict=True))
+
+
+def _digests(column: pa.Array) -> pa.Array:
+    """SHA-256 of each value, in lowercase hex, read where it stands."""
+    _, cut, data = column.buffers()
+    cut = np.frombuffer(cut, "i8")[column.offset : column.offset + len(column) + 1].tolist()
+    data = memoryview(data or b"")
+    return pa.array([hashlib.sha256(data[s:e]).hexdigest() for s, e in zip(cut, cut[1:], strict=False)], pa.string())
+
+
+def _groups(batches):
+    """Ids and texts of as many rows as GROUP allows, whatever the batches."""
+    ids, texts, n = [], [], 0
+    for batch in batches:
+        for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if texts and n + len(text) > GROUP:
+                yield ids, texts
+                ids, texts, n = [], [], 0
+            ids.append(ident)
+            texts.append(text)
+            n += len(text)
+    if texts:
+        yield ids, texts
 
 
 _encoders: dict = {}
@@ -261,26 +337,14 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
         if key not in _encoders:
             _encoders[key] = Encoder(path, pattern)
         encoder = _encoders[key]
-        for batch in batches:
-            ids, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
-            while at < len(texts):
-                end, n = at, 0
-                while end < len(texts) and (n == 0 or n + len(texts[end]) <= GROUP):
-                    n += len(texts[end])
-                    end += 1
-                rows = encoder.encode(texts[at:end])
-                columns = [
-                    ids.slice(at, end - at).cast(pa.int64()),
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([hashlib.sha256(r[1].encode()).hexdigest() for r in rows]),
-                    pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows]),
-                ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    columns += [pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-                at = end
+        for ids, texts in _groups(batches):
+            sizes, found, decoded = encoder.columns(texts)
+            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), _digests(found), _digests(decoded)]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns += [found.cast(pa.string()), decoded.cast(pa.binary())]
+                names += ["ids", "decoded"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded binary" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("t")).mapInArrow(run, schema)

@@ -72,6 +72,35 @@ def test_bpe_of_long_runs(spark):
     assert encoder.encode([t])[0][2] == t.encode() and time.perf_counter() - began < 60
 
 
+def test_bpe_of_groups_and_white_runs():
+    import base64
+
+    import public_tokenizers as P
+    import pyarrow as pa
+    import tiktoken
+
+    from plinth.llm import bpe
+
+    # one group of rows over many batches, and no group of more characters unless one text has them
+    batches = [pa.RecordBatch.from_pydict({"a": [None, i], "t": ["x" * 1000, ""]}) for i in range(5000)]
+    groups = list(bpe._groups(batches))
+    assert len(groups) == 1 and len(groups[0][0]) == 10_000 and not list(bpe._groups([]))
+    sizes = [bpe.GROUP, 5, 2 * bpe.GROUP, bpe.GROUP - 1, 1]
+    one = pa.RecordBatch.from_pydict({"a": list(range(5)), "t": ["x" * n for n in sizes]})
+    assert [ids for ids, _ in bpe._groups([one, one.slice(5)])] == [[0], [1], [2], [3, 4]]
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(bpe.RANKS), "rb"))}
+    whole = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder, rng = bpe.Encoder(P.path(bpe.RANKS), P.PATTERN, cap=200), random.Random(6)
+    white = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and encoder.part.fullmatch(chr(i)) and chr(i).isspace() and chr(i) not in "\x1c\x1d\x1e\x1f"]
+    pieces = [*white, " ", " ", "\n", "\n", "\x00", "\x01", "\x02", "\x1c", "a", "the", "'s", "Word", "7", ".", "é", "x" * 60]
+    cases = ["", *("".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(4000))]
+    assert len(white) == 25
+    n, ids, raw = encoder.columns(cases)
+    want = [whole.encode_ordinary(t) for t in cases]
+    assert n.tolist() == [len(x) for x in want] and ids.to_pylist() == [" ".join(map(str, x)) for x in want] and raw.to_pylist() == [t.encode() for t in cases]
+    assert bpe._digests(raw.slice(3)).to_pylist() == [hashlib.sha256(t.encode()).hexdigest() for t in cases[3:]]
+
+
 def test_packing_holds_each_id_once(spark, odd):
     import public_tokenizers as P
     from tokenizers import Tokenizer
