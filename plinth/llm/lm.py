@@ -17,10 +17,10 @@ from __future__ import annotations
 import math
 import zlib
 from bisect import bisect_right
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +39,9 @@ PER_WORD, VECTORS = 300, 10_000
 ROUNDS, NOISE, PER_TASK, STEP, STEPS, RATE = 2, 12, 2_000_000, 16_384, 120, 0.1
 END = b""
 #: Rows of a product over all classes, so that it stays in a processor's cache.
-CACHE = 2048
+CACHE = 1024
+#: Bytes of text whose words a task counts at once.
+AT_ONCE = 32_000_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -47,6 +49,26 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def words_in(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``words_of`` all texts of a column one after another, and where each text's words begin and end."""
+    # Arrow 23 lowers a cast slice wrongly, so the cast comes last
+    split = pc.ascii_split_whitespace(pc.ascii_lower(column).cast(pa.large_string()))
+    flat, cut = split.flatten(), split.offsets.to_numpy()
+    some = pc.binary_length(flat).to_numpy() > 0  # white space at an end leaves an empty text
+    if not some.all():
+        flat, cut = flat.filter(pa.array(some)), np.concatenate(([0], np.cumsum(some)))[cut]
+    return flat.cast(pa.large_binary()), cut.astype("i8")
+
+
+def numbered(column: pa.Array) -> tuple[pa.Array, np.ndarray, list[bytes], np.ndarray]:
+    """``words_in`` a column, its distinct words, and for each word the number of it among those."""
+    flat, cut = words_in(column)
+    coded = flat.dictionary_encode()
+    _, at, data = coded.dictionary.buffers()
+    at, data = np.frombuffer(at, "i8")[: len(coded.dictionary) + 1].tolist(), (data or pa.py_buffer(b"")).to_pybytes()
+    return flat, cut, [data[s:e] for s, e in zip(at, at[1:], strict=False)], coded.indices.to_numpy()  # to_pylist is slow
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ident = F.col(id_col).cast("long")
     return docs.select(ident.alias("id"), (fold_mod(ident, FOLDS) == HELD).alias("held"), text_of(text_col).alias("t"))
@@ -55,21 +77,22 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, n) over the training texts; the end is the empty word.  Each task counts its own words first."""
 
-    def run(batches):
-        seen: Counter = Counter()
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return out
+    def counted(columns):
+        words, n = words_in(pa.chunked_array(columns, columns[0].type).combine_chunks()), sum(map(len, columns))
+        seen = words[0].value_counts()
+        word, times = seen.field("values").cast(pa.binary()), seen.field("counts").cast(pa.int64())
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([word, pa.array([END], pa.binary())]), pa.concat_arrays([times, pa.array([n], pa.int64())])], names=["word", "n"])
 
+    def run(batches):
+        columns, size = [], 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(words_of(t))
-                seen[b""] += 1
-            if len(seen) > 400_000:
-                yield flush()
-        yield flush()
+            columns.append(batch.column(0))
+            size += batch.column(0).nbytes
+            if size > AT_ONCE:
+                yield counted(columns)
+                columns, size = [], 0
+        if columns:
+            yield counted(columns)
 
     return texts.filter("not held").select("t").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -105,6 +128,14 @@ class Classes:
         return out
 
 
+    def items_in(self, column: pa.Array) -> list[np.ndarray]:
+        """``items`` of each text of a column; every distinct word is looked up once."""
+        _, cut, distinct, at = numbered(column)
+        items = np.array([self.rest(self.place(w)) if i is None else i for w, i in zip(distinct, map(self.item.get, distinct), strict=True)], "i8")[at]
+        end = self.item[END]
+        return [np.append(items[s:e], end) for s, e in zip(cut, cut[1:], strict=False)]
+
+
 class Model:
     """source [item, and the start], target and bias by item, the same by class, and the weights of positions."""
 
@@ -127,7 +158,7 @@ class Model:
 
     def _read(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """What stands at REACH and after (see ``windows``), sorted by class: vectors of ``flat``, places of the words in
-        it, their contexts, their items, and where the classes begin."""
+        it, their contexts (with a one after, for the biases), their items, and where the classes begin."""
         vectors = self.source[flat]
         n = len(flat) - REACH
         context = vectors[REACH - 1 : REACH - 1 + n] * self.position[0]
@@ -135,9 +166,11 @@ class Model:
             context += vectors[REACH - 1 - k : REACH - 1 - k + n] * self.position[k]
         at = np.nonzero(flat[REACH:] < self.classes.size)[0]
         items = flat[REACH:][at]
-        order = np.argsort(items, kind="stable")  # items are numbered by class
+        order = np.argsort(items.astype("u2") if self.classes.size < 1 << 16 else items, kind="stable")  # items are numbered by class
         at, items = at[order], items[order]
-        return vectors, at, context[at], items, np.searchsorted(items, self.classes.first)
+        there = np.ones((len(at), SIZE + 1), "f4")
+        there[:, :SIZE] = context[at]
+        return vectors, at, there, items, np.searchsorted(items, self.classes.first)
 
     def log_probabilities(self, flat: np.ndarray) -> np.ndarray:
         """Natural logarithms of the normalised probabilities of the words from REACH on, 0 where none is."""
@@ -146,11 +179,12 @@ class Model:
         if not len(at):
             return out
         found, of = np.empty(len(at)), self.classes.of[items]
+        by_class, by_item = np.column_stack((self.class_target, self.class_bias)), np.column_stack((self.target, self.bias))
         for s in range(0, len(at), CACHE):
-            found[s : s + CACHE] = _normalised(context[s : s + CACHE] @ self.class_target.T + self.class_bias, of[s : s + CACHE])
+            found[s : s + CACHE] = _normalised(context[s : s + CACHE] @ by_class.T, of[s : s + CACHE])
         for k in np.nonzero(np.diff(cut))[0].tolist():
             lo, hi, s, e = self.classes.first[k], self.classes.first[k + 1], cut[k], cut[k + 1]
-            found[s:e] += _normalised(context[s:e] @ self.target[lo:hi].T + self.bias[lo:hi], items[s:e] - lo)
+            found[s:e] += _normalised(context[s:e] @ by_item[lo:hi].T, items[s:e] - lo)
         out[at] = found
         return out
 
@@ -160,18 +194,20 @@ class Model:
         classes, grads = self.classes, [np.zeros_like(p) for p in self.params()]
         source, target, bias, class_target, class_bias, position = grads
         vectors, at, context, items, cut = self._read(flat)
-        of, pull = classes.of[items], np.empty_like(context)
+        of, pull = classes.of[items], np.empty((len(at), SIZE), "f4")
+        by_class, by_item = -np.column_stack((self.class_target, self.class_bias)), -np.column_stack((self.target, self.bias))
         for s in range(0, len(at), CACHE):
             here = context[s : s + CACHE]
-            err = _told(here, self.class_target, self.class_bias, self.log_class, of[s : s + CACHE])
-            class_target += err.T @ here
-            class_bias += err.sum(axis=0)
+            err = _told(here, by_class, self.log_class, of[s : s + CACHE])
+            both = err.T @ here
+            class_target += both[:, :SIZE]
+            class_bias += both[:, SIZE]
             pull[s : s + CACHE] = err @ self.class_target
         for k in np.nonzero(np.diff(cut))[0].tolist():
             lo, hi, s, e = classes.first[k], classes.first[k + 1], cut[k], cut[k + 1]
-            err = _told(context[s:e], self.target[lo:hi], self.bias[lo:hi], self.log_item[lo:hi], items[s:e] - lo)
-            np.matmul(err.T, context[s:e], out=target[lo:hi])
-            bias[lo:hi] = err.sum(axis=0)
+            err = _told(context[s:e], by_item[lo:hi], self.log_item[lo:hi], items[s:e] - lo)
+            both = err.T @ context[s:e]
+            target[lo:hi], bias[lo:hi] = both[:, :SIZE], both[:, SIZE]
             pull[s:e] += err @ self.target[lo:hi]
         n = len(flat) - REACH
         back = np.zeros((n, SIZE), "f4")
@@ -181,32 +217,32 @@ class Model:
             before = slice(REACH - 1 - k, REACH - 1 - k + n)
             to[before] += back * self.position[k]
             position[k] = np.einsum("ij,ij->j", back, vectors[before])
-        order = np.argsort(flat, kind="stable")
-        there, starts = np.unique(flat[order], return_index=True)
-        source[there] = np.add.reduceat(to[order], starts, axis=0)
+        for j in range(SIZE):
+            source[:, j] = np.bincount(flat, weights=to[:, j], minlength=len(source))
         return grads
 
 
 def _normalised(scores: np.ndarray, right: np.ndarray) -> np.ndarray:
     found = scores[np.arange(len(scores)), right].astype("f8")
     with np.errstate(over="ignore"):
-        total = np.exp(scores).sum(axis=1)
-    if not np.isfinite(total).all():
+        total = np.exp(scores) @ np.ones(scores.shape[1], "f4")
+    if not (np.isfinite(total).all() and total.all()):
         top = scores.max(axis=1)
         return found - top - np.log(np.exp(scores - top[:, None]).sum(axis=1, dtype="f8"))
     return found - np.log(total)
 
 
-def _told(context: np.ndarray, target: np.ndarray, bias: np.ndarray, log_noise: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The gradient by score: expected noise times the chance that it is taken for data, less the doubt about data."""
-    out = context @ -target.T
-    out += (log_noise + np.float32(math.log(NOISE))) - bias
+def _told(context: np.ndarray, against: np.ndarray, log_noise: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The gradient by score: expected noise times the chance that it is taken for data, less the doubt about data.
+    ``against`` has the vectors and biases with their signs turned."""
+    out = context @ against.T
+    noise = np.exp(log_noise) * np.float32(NOISE)
     with np.errstate(over="ignore"):
-        np.exp(out, out=out)  # odds of noise
-    at = np.arange(len(out))
-    odds = out[at, right]
-    out += 1
-    np.divide(np.exp(log_noise) * np.float32(NOISE), out, out=out)
+        np.exp(out, out=out)  # times the noise, its odds
+        at = np.arange(len(out))
+        odds = out[at, right] * noise[right]
+    out += 1 / noise
+    np.reciprocal(out, out=out)
     out[at, right] -= 1 - 1 / (1 + odds)
     return out
 
@@ -254,7 +290,7 @@ def fit(texts: DataFrame, model: Model, tokens: int) -> None:
 
             def feed():
                 for batch in batches:
-                    yield [mine.classes.items(words_of(t)) for t in batch.column(0).to_pylist()]
+                    yield mine.classes.items_in(batch.column(0))
 
             n = train(mine, feed(), step, passes)
             if not n:
@@ -372,27 +408,35 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             return total / math.log(10)
 
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
-            texts: list[np.ndarray] = []
-            for ident, held, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                words = words_of(t)
-                at = np.array([number.get(w, -1) for w in words], "i8")
-                items = item_of[at] if len(item_of) else np.zeros(len(at), "i8")
-                odd = np.nonzero(at < 0)[0].tolist()
-                far = [words[j] for j in odd]
-                places = [classes.place(w) for w in far]
-                if far:
-                    items[odd] = classes.first[np.array(places) + 1] - 1
-                near = at[at >= 0]
-                texts.append(np.append(items, end))
-                for column, value in zip(out, ((part << 40) + row, ident, held, len(words) + 1, len(near), float(base_known[near].sum()), float(share[near].sum()), far, places), strict=True):
-                    column.append(value)
-                row += 1
-            score = scored(texts) + np.array(out[6])
+            flat, cut, distinct, number_of = numbered(batch.column(2))
+            found = np.array([number.get(w, -1) for w in distinct], "i8")
+            near, place = found >= 0, np.zeros(len(found), "i8")
+            odd = np.nonzero(~near)[0]
+            place[odd] = [classes.place(distinct[j]) for j in odd.tolist()]
+            items, base, shares = classes.first[place + 1] - 1, np.zeros(len(found)), np.zeros(len(found))
+            items[near], base[near], shares[near] = item_of[found[near]], base_known[found[near]], share[found[near]]
+            size, is_near = np.diff(cut), near[number_of]
+            owner = np.repeat(np.arange(len(size)), size)
+            sums = [np.bincount(owner, weights=x[number_of], minlength=len(size)) for x in (base, shares)]
+            items = items[number_of]
+            far = pa.array(~is_near)
+            far_cut = pa.array(np.concatenate(([0], np.cumsum(~is_near)))[cut], pa.int32())
+            score = scored([np.append(items[s:e], end) for s, e in zip(cut, cut[1:], strict=False)]) + sums[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out[:6], (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()), strict=True)] + [pa.array(score), pa.array(out[7], pa.list_(pa.binary())), pa.array(out[8], pa.list_(pa.int32()))],
+                [
+                    pa.array((part << 40) + row + np.arange(len(size)), pa.int64()),
+                    batch.column(0).cast(pa.int64()),
+                    batch.column(1).cast(pa.bool_()),
+                    pa.array(size + 1, pa.int64()),
+                    pa.array(np.bincount(owner[is_near], minlength=len(size)), pa.int64()),
+                    pa.array(sums[0]),
+                    pa.array(score),
+                    pa.ListArray.from_arrays(far_cut, flat.filter(far).cast(pa.binary())),
+                    pa.ListArray.from_arrays(far_cut, pa.array(place[number_of[~is_near]], pa.int32())),
+                ],
                 names=["row", "id", "held", "n_tokens", "near", "base", "score", "far", "places"],
             )
+            row += len(size)
 
     scored = stage_table(texts.mapInArrow(run, "row long, id long, held boolean, n_tokens long, near long, base double, score double, far array<binary>, places array<int>"), "scored")
     cell = lambda k: F.element_at(F.array(*[F.lit(float(x)) for x in rests[:, k]]), F.col("place") + 1)

@@ -101,6 +101,25 @@ def test_bpe_of_groups_and_white_runs():
     assert bpe._digests(raw.slice(3)).to_pylist() == [hashlib.sha256(t.encode()).hexdigest() for t in cases[3:]]
 
 
+def test_words_and_items_by_column_equal_those_of_each_text(spark, odd):
+    import pyarrow as pa
+
+    from plinth.llm import lm
+
+    rng = random.Random(7)
+    pieces = [" ", "\t", "\x0b", "\x0c", "\r", "\n", "\x1c", "\x1f", "\x85", "\xa0", "\x00", "A", "É", "bC", "İ", "ẞ", "日本"]
+    texts = ["", " ", *("".join(rng.choices(pieces, k=rng.randint(0, 9))) for _ in range(3000))]
+    want = [lm.words_of(t) for t in texts]
+    classes = lm.Classes(sorted({w for ws in want[:200] for w in ws if w}))
+    for column, a in ((pa.array(texts), 0), (pa.array(texts).slice(5), 5), (pa.array([], pa.string()), len(texts))):
+        flat, cut, distinct, at = lm.numbered(column)
+        assert [flat.to_pylist()[s:e] for s, e in zip(cut[:30], cut[1:31])] == want[a : a + 30]
+        assert [distinct[i] for i in at] == flat.to_pylist() == [w for ws in want[a:] for w in ws] and len(set(distinct)) == len(distinct)
+        assert [x.tolist() for x in classes.items_in(column)] == [classes.items(ws) for ws in want[a:]]
+    counts = collections.Counter(w for r in odd.collect() if lm.fold_of(r.doc_id) != lm.HELD for w in [*lm.words_of(r.text or ""), b""])
+    assert {bytes(r.word): r.n for r in lm.count_words(lm._texts(odd, "doc_id", "text")).collect()} == dict(counts)
+
+
 def test_packing_holds_each_id_once(spark, odd):
     import public_tokenizers as P
     from tokenizers import Tokenizer
